@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import near_dup
+from . import decontaminate, near_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": lambda spark, d: near_dup.links(table(spark, d, "documents")),
+    "op10_decontamination": lambda spark, d: decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 ORACLES: dict[str, str] = {}
