@@ -37,12 +37,14 @@ EDGES = ".,;:!?*$&%#|\"'()[]{}<>-_"
 class Params:
     bits: int = 18
     factors: int = 8
-    word_value: float = 0.35
+    word_value: float = 1.0
     train_rows: int = 12_000
     least_df: int = 4
     epochs: int = 12
-    rate: float = 0.08
-    l2: float = 2e-4
+    rate: float = 1.0
+    rate_pairs: float = 0.02
+    l1: float = 10.0
+    l2: float = 1e-3
     seed: int = 11
     least_quality: float = 0.5
     most_toxicity: float = 0.5
@@ -129,7 +131,11 @@ class Model:
 
 
 def train(lists: list[np.ndarray], labels: np.ndarray, p: Params) -> Model:
-    """Adagrad on the log loss, weighted to balance the classes of each head; rows are in the given order."""
+    """Log loss, weighted to balance the classes of each head; rows are in the given order.
+
+    w is learnt by FTRL-proximal with an L1 term, so that words of no bearing get no weight; v by Adagrad, for the
+    features that have a w.
+    """
     size = (1 << p.bits) + 4096
     df = np.zeros(size, np.int64)
     for x in lists:
@@ -148,8 +154,8 @@ def train(lists: list[np.ndarray], labels: np.ndarray, p: Params) -> Model:
             constant[h] = (1.0, 0.0)[h]
             continue
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-        wh, vh, bias = np.zeros(m), rng.normal(0, 0.01, (m, p.factors)), 0.0
-        gw, gv, gb = np.full(m, 1e-2), np.full((m, p.factors), 1e-2), 1e-2
+        wh, z, n = np.zeros(m), np.zeros(m), np.zeros(m)
+        vh, gv, bias, gb = rng.normal(0, 0.01, (m, p.factors)), np.full((m, p.factors), 1e-2), 0.0, 1e-2
         for _ in range(p.epochs):
             order = rng.permutation(len(docs))
             for part in np.array_split(order, max(1, len(order) // 128)):
@@ -157,19 +163,97 @@ def train(lists: list[np.ndarray], labels: np.ndarray, p: Params) -> Model:
                 at, x = np.concatenate([docs[i] for i in part]), np.concatenate([values[i] for i in part])
                 doc = np.repeat(np.arange(len(part)), lens)
                 ux, inv = np.unique(at, return_inverse=True)
-                vx = vh[at] * x[:, None]
+                live = wh[at] != 0
+                vx = vh[at] * (x * live)[:, None]
                 sums = np.stack([np.bincount(doc, vx[:, f], len(part)) for f in range(p.factors)], 1)
                 squares = np.bincount(doc, (vx**2).sum(1), len(part))
                 score = bias + np.bincount(doc, wh[at] * x, len(part)) + 0.5 * ((sums**2).sum(1) - squares)
-                g = weight[part] * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[part]) / len(part) * 16
+                g = weight[part] * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[part])
                 each = g[doc] * x
-                dw = np.bincount(inv, each, len(ux)) + p.l2 * wh[ux]
-                dv = np.stack([np.bincount(inv, each * (sums[doc, f] - vx[:, f]), len(ux)) for f in range(p.factors)], 1) + p.l2 * vh[ux]
-                gw[ux] += dw**2
-                gv[ux] += dv**2
+                dw = np.bincount(inv, each, len(ux))
+                z[ux] += dw - (np.sqrt(n[ux] + dw**2) - np.sqrt(n[ux])) / p.rate * wh[ux]
+                n[ux] += dw**2
+                wh[ux] = np.where(np.abs(z[ux]) > p.l1, (np.sign(z[ux]) * p.l1 - z[ux]) / ((1 + np.sqrt(n[ux])) / p.rate + p.l2), 0)
+                on = np.flatnonzero(live)
+                few, back = np.unique(at[on], return_inverse=True)
+                dv = np.stack([np.bincount(back, each[on] * (sums[doc[on], f] - vx[on, f]), len(few)) for f in range(p.factors)], 1) / len(part) * 16 + p.l2 * vh[few]
+                gv[few] += dv**2
+                vh[few] -= p.rate_pairs * dv / np.sqrt(gv[few])
                 gb += g.sum() ** 2
-                wh[ux] -= p.rate * dw / np.sqrt(gw[ux])
-                vh[ux] -= p.rate * 0.3 * dv / np.sqrt(gv[ux])
                 bias -= p.rate * g.sum() / math.sqrt(gb)
-        w0[h], w[:, h], v[:, h] = bias, wh, vh
+        w0[h], w[:, h], v[:, h] = bias, wh, np.where(wh[:, None] != 0, vh, 0)
     return Model(rows, w0, w, v, tuple(constant), p.bits, p.word_value)
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+
+
+def _sample(labels: DataFrame, p: Params) -> DataFrame:
+    """Labelled ids (doc_id, quality, toxic): all of them, or about ``train_rows`` by a hash of doc_id."""
+    usable = labels.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"), F.col("toxic").cast("int")).dropna()
+    count = usable.count()
+    if count <= p.train_rows:
+        return usable
+    return usable.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(p.seed)), F.lit(1_000_000)) < int(1e6 * p.train_rows / count))
+
+
+def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
+    """The model of the labelled documents. The sample's ids are broadcast: ``train_rows`` bounds their number."""
+    bound_batches(docs.sparkSession)
+    labelled = _columns(docs).join(F.broadcast(_sample(labels, p)), "doc_id")
+
+    def make():
+        features = Features(p.bits)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            _, text, lang, source, quality, toxic = (c.to_pylist() for c in batch.columns)
+            slots = [np.array(features(*row), "<u4").tobytes() for row in zip(text, lang, source)]
+            return pa.record_batch([batch.column(0), pa.array(slots, pa.binary()), pa.array(quality, pa.int32()), pa.array(toxic, pa.int32())], ["doc_id", "slots", "quality", "toxic"])
+
+        return step
+
+    rows = map_batches(labelled, make, "doc_id bigint, slots binary, quality int, toxic int").collect()
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.slots), r.quality, r.toxic))
+    lists = [np.frombuffer(bytes(r.slots), "<u4").astype(np.int64) for r in rows]
+    return train(lists, np.array([(r.quality > 0, r.toxic > 0) for r in rows]).reshape(-1, 2), p)
+
+
+def _scorer(shared, p: Params):
+    """text, lang and source lists -> probabilities (documents x 2)."""
+    features, model = Features(p.bits), shared.value
+    return lambda text, lang, source: model.scores([features(*row) for row in zip(text, lang, source)])
+
+
+def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, quality, toxicity, keep) for each row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p))  # bounded by 2**bits slots
+
+    def make():
+        scorer = _scorer(shared, p)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = scorer(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            keep = (found[:, 0] >= p.least_quality) & (found[:, 1] <= p.most_toxicity)
+            return pa.record_batch([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(keep)], ["doc_id", "quality", "toxicity", "keep"])
+
+        return step
+
+    return map_batches(_columns(docs), make, "doc_id bigint, quality double, toxicity double, keep boolean")
+
+
+def keep(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p))
+    places = [docs.columns.index(c) for c in ("text", "lang", "source")]
+
+    def make():
+        scorer = _scorer(shared, p)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = scorer(*(batch.column(i).to_pylist() for i in places))
+            return batch.filter(pa.array((found[:, 0] >= p.least_quality) & (found[:, 1] <= p.most_toxicity)))
+
+        return step
+
+    return map_batches(docs, make, docs.schema)

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, decontaminate, near_dup
+from . import bpe, decontaminate, near_dup, quality_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_fm": lambda spark, d: quality_fm.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_near_duplicates": lambda spark, d: near_dup.links(table(spark, d, "documents")),
     "op7_bpe": lambda spark, d: bpe.encode(table(spark, d, "documents")),
     "op10_decontamination": lambda spark, d: decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark")),
