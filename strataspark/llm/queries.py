@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, decontaminate, near_dup, quality_fm, secrets
+from . import bpe, decontaminate, near_dup, pii, quality_fm, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": lambda spark, d: pii.scan(table(spark, d, "documents")),
     "op3_secrets": lambda spark, d: secrets.scan(table(spark, d, "documents")),
     "op5_quality_fm": lambda spark, d: quality_fm.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_near_duplicates": lambda spark, d: near_dup.links(table(spark, d, "documents")),
