@@ -19,7 +19,10 @@ def wanted(name: Column, op: Column) -> Column:
 
 def bursts(events: DataFrame, gap: str = GAP, order: str = "ts") -> DataFrame:
     """(started, events, name): events less than ``gap`` apart are one burst, named after its last event."""
-    sessions = events.groupBy(F.session_window("ts", gap)).agg(F.min("ts").alias("started"), F.count("*").alias("events"), F.max_by("name", order).alias("name"))
+    window = [F.session_window("ts", gap)]
+    if events.isStreaming:  # streams need a key besides the window; debouncing is over all files, so it is the same for all
+        window.append(F.col("name").isNull().alias("nameless"))
+    sessions = events.groupBy(*window).agg(F.min("ts").alias("started"), F.count("*").alias("events"), F.max_by("name", order).alias("name"))
     return sessions.select("started", "events", "name")
 
 
