@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as settings
+from .adapters import Detector, Unsupported  # noqa: F401
 from .functions import text as T
 from .operators import detect, graph, rules, score
-from .parsers import golang, python, scripts
+from .parsers import golang
 from .session import materialise
 from .sources import repo
 
 
-class Unsupported(ValueError):
-    pass
-
-
 @dataclass
 class Analysis:
     """Tables of one run. ``violations``, ``score``: as in operators.rules and operators.score."""
@@ -37,45 +33,13 @@ class Analysis:
     outcome: rules.Outcome
 
 
-def evidence(files: DataFrame) -> DataFrame:
-    """(language, signal, weight, path) of all languages that give any."""
-    parts = [python.evidence(repo.python_files(files))]
-    parts += [scripts.evidence(files, repo.script_files(files, language), language) for language in ("JavaScript", "TypeScript")]
-    return rules.union(parts)
-
-
 def policy(cfg: dict) -> detect.Policy:
     found = cfg["language_detection"]
     return detect.Policy(found["weights"], tuple(found["tie_break_order"]), found["segment_weights"])
 
 
 def language_stats(files: DataFrame, p: detect.Policy = detect.Policy()) -> DataFrame:
-    """Weighted files, evidence and markers by language."""
-    known = files.filter(~F.col("is_symlink")).withColumn("language", detect.language_of(F.col("path"))).filter("language IS NOT NULL AND content IS NOT NULL")
-    counted = known.select(F.concat(F.lit("/"), "path").alias("path"), "language", T.scanned_lines(F.col("content")).alias("lines"))
-    sums = detect.evidence_sums(evidence(files).select("language", F.col("weight").cast("decimal(10,4)").alias("weight")))
-    return detect.boosted(detect.with_evidence(detect.language_stats(counted, p), sums), detect.marker_boosts(files))
-
-
-def _go(files: DataFrame) -> dict[str, DataFrame]:
-    parsed = materialise(golang.parsed(repo.go_files(files)), "go-parse")
-    sources = parsed.filter("functions IS NOT NULL")
-    lines = files.select("path", T.file_lines(F.col("content")).alias("lines"))
-    functions = sources.select("path", F.explode("functions").alias("f")).select("path", "f.*")
-    structs = sources.select("path", F.explode("structs").alias("s")).select(T.parent(F.col("path")).alias("dir"), F.col("path").alias("file"), "s.*")
-    methods = sources.select("path", F.explode("methods").alias("m")).filter("m.receiver IS NOT NULL").select(T.parent(F.col("path")).alias("dir"), F.col("m.receiver").alias("name"), F.col("m.name").alias("method"))
-    metrics = sources.join(lines, "path").select("path", "lines", F.size("imports").alias("imports"), F.size("functions").alias("functions"))
-    return {"imports": parsed.filter("imports IS NOT NULL").select("path", "imports"), "metrics": metrics, "functions": functions, "structs": structs, "methods": methods}
-
-
-def _others(spark: SparkSession, files: DataFrame, language: str) -> dict[str, DataFrame]:
-    nothing = {"functions": "path string, name string, line int, lines int, params int", "structs": "dir string, file string, name string, line int, fields int, exported boolean", "methods": "dir string, name string, method string"}
-    out = {name: spark.createDataFrame([], schema) for name, schema in nothing.items()}
-    if language == "Python":
-        own = repo.python_files(files)
-        return out | {"imports": python.imports(own).select("path", "imports"), "metrics": python.metrics(own)}
-    own = repo.script_files(files, language)
-    return out | {"imports": scripts.imports(own), "metrics": scripts.metrics(own).withColumn("functions", F.lit(0))}
+    return Detector(policy=p).stats(files)
 
 
 def module_index(files: DataFrame, module: str, language: str) -> DataFrame:
@@ -92,18 +56,14 @@ def module_index(files: DataFrame, module: str, language: str) -> DataFrame:
     return repo.script_files(files, language).groupBy(stem.alias("token")).agg(F.min("path").alias("file"))
 
 
-def analyze(spark: SparkSession, path: str, cfg: dict | None = None, resolve: bool = False, registry: rules.Registry | None = None) -> Analysis:
+def analyze(spark: SparkSession, path: str, cfg: dict | None = None, resolve: bool = False, registry: rules.Registry | None = None, detector: Detector | None = None) -> Analysis:
     """Analyse the tree at ``path``. ``resolve``: imports become the files they name, so that cycles between files are seen."""
     cfg = cfg or settings.completed({})
     root = repo.normalised_root(path)
     files = materialise(repo.scan(spark, root), "scan")
-    p = policy(cfg)
-    stats = language_stats(files, p)
-    top = detect.dominant(stats, p).collect()
-    if not top:
-        raise Unsupported(f"no supported language in {root}")
-    language = top[0].language
-    tables = _go(files) if language == "Go" else _others(spark, files, language)
+    detector = detector or Detector(policy=policy(cfg))
+    adapter = detector.detect(files)
+    language, tables = adapter.language, adapter.tables(files)
     edges = graph.edges_of(tables["imports"])
     if resolve:
         named = files.filter("path = 'go.mod'").select(F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("m")).collect()
@@ -112,7 +72,7 @@ def analyze(spark: SparkSession, path: str, cfg: dict | None = None, resolve: bo
     context = rules.Context(spark, files.filter(detect.language_of(F.col("path")) == language), tables["functions"], tables["structs"], tables["methods"], edges, (language,), limits(cfg))
     outcome = rules.Executor(registry or rules.default_registry(), budget=float("inf")).execute(context)
     weights = score.Weights(**{k: float(v) for k, v in cfg["weights"].items()})
-    return Analysis(root, language, stats, files, tables["metrics"], tables["functions"], tables["structs"], edges, outcome.violations, score.score(outcome.violations, weights), outcome)
+    return Analysis(root, language, detector.stats(files), files, tables["metrics"], tables["functions"], tables["structs"], edges, outcome.violations, score.score(outcome.violations, weights), outcome)
 
 
 def limits(cfg: dict) -> dict:
@@ -136,7 +96,3 @@ def totals(analysis: Analysis) -> DataFrame:
     """(files, lines, functions, structs)."""
     sums = analysis.file_metrics.agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("functions").alias("functions"))
     return sums.crossJoin(analysis.structs.agg(F.count("*").alias("structs")))
-
-
-def history_path(out_dir: str) -> str:
-    return os.path.join(out_dir, "history")

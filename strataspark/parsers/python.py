@@ -96,3 +96,9 @@ def evidence(files: DataFrame) -> DataFrame:
     weight = F.when(F.col("relative"), F.lit(RELATIVE)).otherwise(F.lit(ABSOLUTE))
     signal = F.when(F.col("relative"), "relative_import").otherwise("import")
     return import_evidence(first).select(F.lit("Python").alias("language"), signal.alias("signal"), weight.alias("weight"), "path").orderBy("path", "signal", "language", "weight")
+
+
+def warnings(files: DataFrame) -> DataFrame:
+    """(path, warning) of files that give no evidence: links, unreadable ones, and those over 2 MiB."""
+    why = F.when(F.col("is_symlink"), "a link").when(F.col("content").isNull(), "unreadable").when(F.octet_length("content") > MAX_BYTES, "too large")
+    return files.select("path", why.alias("warning")).filter("warning IS NOT NULL")

@@ -189,3 +189,21 @@ def test_cli(tmp_path, capsys):
     assert cli.run_interactive(args, lambda _: next(answers)) == 0
     cfg = config.load(str(tmp_path / "c.yaml"))
     assert cfg["size"]["max_file_lines"] == 42 and cfg["size"]["enabled"] is False
+
+
+def test_adapters(spark, tmp_path):
+    import dataclasses
+
+    from strataspark import adapters
+
+    folder = tree(tmp_path, **{"a.go": "package a\n", "b.txt": "x"})
+    files = repo.scan(spark, folder)
+    detector = adapters.Detector()
+    assert detector.supported() == ["Go", "JavaScript", "Python", "TypeScript"] and detector.detect(files).language == "Go"
+    with pytest.raises(ValueError):
+        detector.register(adapters.GO)
+    bare = adapters.Detector([dataclasses.replace(adapters.GO, capabilities=frozenset({"graph"}))])
+    with pytest.raises(adapters.Unsupported):
+        bare.detect(files)
+    with pytest.raises(adapters.Unsupported):
+        adapters.Detector([adapters.PYTHON]).detect(files)

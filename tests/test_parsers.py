@@ -98,3 +98,9 @@ def test_import_names(spark):
     assert [one(T.scanned_lines, x) for x in ("", "a", "a\n", "a\n\nb", "x" * (1 << 20) + "y")] == [1, 1, 1, 3, 0]
     assert [one(T.file_lines, x) for x in ("", "a\n", "a")] == [0, 1, 1]
     assert one(lambda c: T.layer(c), "a\\repo\\b") == "repo"
+
+
+def test_python_warnings(spark):
+    df = files(spark, a="x" * ((2 << 20) + 10), b="from . import\n")
+    assert [(r.path, r.warning) for r in python.warnings(df).collect()] == [("a", "too large")]
+    assert python.evidence(df).count() == 0

@@ -29,3 +29,34 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == ["b.go"]
+
+
+def test_event_source(spark, tmp_path):
+    import os
+
+    from strataspark.sources import events
+
+    root = tmp_path / "tree"
+    (root / "vendor").mkdir(parents=True)
+    (root / "old.go").write_text("package a\n")
+    reader = events.EventReader(str(root))
+    start = reader.initialOffset()
+    (root / "new").mkdir()
+    (root / "new" / "a.go").write_text("package a\n")
+    (root / "vendor" / "x.go").write_text("package a\n")
+    rows, middle = reader.read(start)
+    assert [r[:2] for r in rows] == [("new/a.go", "CREATE")]
+    os.utime(root / "old.go", ns=(1, 1))
+    os.remove(root / "new" / "a.go")
+    rows, end = reader.read(middle)
+    assert [r[:2] for r in rows] == [("new/a.go", "REMOVE"), ("old.go", "WRITE")]
+    assert len(list(reader.readBetweenOffsets(start, end))) == 3
+    reader.commit(middle)
+    assert [r[1] for r in reader.readBetweenOffsets(middle, end)] == ["REMOVE", "WRITE"]
+    seen = []
+    query = events.stream(spark, str(root)).writeStream.foreachBatch(lambda df, _: seen.extend(r.name for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    (root / "late.go").write_text("package a\n")
+    query.processAllAvailable()
+    query.stop()
+    assert seen == ["late.go"]
