@@ -81,6 +81,35 @@ def test_recall_of_contained_documents(searched):
     assert sum(find(i) in linked for i in inside) >= 0.9 * len(inside)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_by_pair(searched):
+    """Every true pair of distinct texts is listed itself, not only its group."""
+    p, docs, _, truth, links, _ = searched
+    first: dict = {}
+    least = {r.doc_id: first.setdefault(r.text, r.doc_id) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()}
+    listed = {frozenset((r.doc_id, r.match_id)) for r in links if r.kind != "copy"}
+    for far in (False, True):
+        pairs = {frozenset((least[a], least[b])) for (a, b), (_, reverse) in truth.items() if (reverse < p.mutual) == far and least[a] != least[b]}
+        assert len(pairs & listed) >= 0.98 * len(pairs) > 0
+
+
+def test_hot_passage_lists_every_container(spark):
+    """One short document inside 150 far larger ones, and 30 near copies of another: no pair is left out."""
+    short, base = edge.passage(1, 40), [f"b{i}" for i in range(200)]
+    long = [" ".join([*(f"d{k}w{i}" for i in range(600)), short, *(f"d{k}v{i}" for i in range(200))]) for k in range(150)]
+    near = [" ".join([*base[: 5 * k], f"changed{k}", *base[5 * k + 1 :]]) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate([short, *long, *near])), "doc_id bigint, text string")
+    links = near_dup.links(docs).collect()
+    assert sorted(r.match_id for r in links if r.doc_id == 0 and r.kind == "contained") == list(range(1, 151))
+    assert len({frozenset((r.doc_id, r.match_id)) for r in links if r.kind == "near"}) == 30 * 29 // 2
+
+
+def test_bandings_reach_the_recall():
+    p = near_dup.Params()
+    for d, (rows, bands) in enumerate(near_dup.bandings(p)):
+        assert 1 - (1 - near_dup.jaccard_threshold(p.containment, p.size_ratio ** (d + 1)) ** rows) ** bands >= p.recall - 1e-9
+
+
 def test_near_duplicates_edges(spark):
     docs = edge.documents(spark)
     found = {(r.doc_id, r.match_id, r.kind) for r in near_dup.links(docs).collect()}
