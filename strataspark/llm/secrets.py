@@ -95,27 +95,21 @@ class Layer:
 
 
 def decompress(data: bytes, limit: int) -> tuple[bytes, str] | None:
-    """(content, method) of compressed data, None for other data."""
+    """(content, method) of compressed data, all its members; None for other data."""
     kind = next((k for magic, k in MAGIC if data.startswith(magic)), None)
+    out, rest = b"", data
     try:
-        if kind in ("gzip", "zlib"):
-            engine = zlib.decompressobj(47)
-            out = engine.decompress(data, limit + 1)
-        elif kind == "bzip2":
-            out = bz2.BZ2Decompressor().decompress(data, limit + 1)
-        elif kind == "xz":
-            out = lzma.LZMADecompressor(memlimit=256 << 20).decompress(data, limit + 1)
-        elif kind == "zstd":
+        if kind == "zstd":
             import zstandard
 
-            reader = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
-            out = reader.read(limit + 1)
-        else:
-            return None
+            out = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read(limit + 1)
+        while kind not in (None, "zstd") and rest and len(out) <= limit:
+            engine = zlib.decompressobj(47) if kind in ("gzip", "zlib") else bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor(memlimit=256 << 20)
+            out += engine.decompress(rest, limit + 1 - len(out))
+            rest = engine.unused_data.lstrip(b"\0")
     except Exception as error:  # each library has its own error for bytes that only look compressed
         if isinstance(error, MemoryError):
             raise
-        return None
     if len(out) > limit:
         raise Oversized
     return (out, kind) if out else None
@@ -196,7 +190,10 @@ class Scanner:
     def __init__(self, p: Params = Params()):
         self.p = p
         n = p.min_base64
-        self.base64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{{{n},}}|[A-Za-z0-9_-]{{{n},}})={{0,2}}")
+        sign = "[A-Za-z0-9+/_-]"
+        self.base64 = re.compile(rf"(?<!{sign}){sign}{{{n},}}={{0,2}}")
+        self.narrow = re.compile(rf"(?:[A-Za-z0-9+/]{{{n},}}|[A-Za-z0-9_-]{{{n},}})={{0,2}}")
+        self.line = re.compile(rf"\r?\n[ \t]*({sign}+={{0,2}})(?!{sign})")
 
     def rules(self, text: str):
         low = text.lower()
@@ -209,26 +206,43 @@ class Scanner:
                         continue
                     yield kind, m.start(name), m.end(name), value
 
-    def _of_bytes(self, data: bytes, layer: Layer, step: str, start: int, end: int, whole_only: bool):
-        """The layer of decoded bytes, if they are text or compress a text; a span inside base64 text maps to its signs."""
+    def _of_bytes(self, data: bytes, layer: Layer, step: str, start: int, end: int, whole_only: bool, parts: list[tuple[int, int]] | None = None):
+        """The layer of decoded bytes, if they are text or compress a text, however often; a span inside base64 text maps to
+        its signs. What was compressed is a text in any case: bytes that aren't UTF-8 are read as Latin-1."""
+        seen, inner = {data}, data
         try:
-            inner, method = decompress(data, self.p.max_layer) or (None, None)
+            while (more := decompress(inner, self.p.max_layer)) is not None and more[0] not in seen:
+                inner, step = more[0], f"{step}+{more[1]}"
+                seen.add(inner)
         except Oversized:
             return "oversized"
-        if inner is not None:
-            text = printable(inner, self.p.min_printable)
-            return None if text is None else Layer(text, layer, f"{step}+{method}", [(0, start, end, False)])
-        text = None if whole_only else printable(data, self.p.min_printable)
-        if text is None:
+        if inner is not data:
+            return Layer(printable(inner, 0) or inner.decode("latin-1"), layer, step, [(0, start, end, False)])
+        if whole_only:
             return None
+        text = printable(data, self.p.min_printable)
+        wide = data[:2] in (b"\xff\xfe", b"\xfe\xff")
+        single = text is None
+        if single:
+            text = data.decode("latin-1")
+            if sum(c.isprintable() or c in "\n\r\t" for c in text) < self.p.min_printable * len(text):
+                return None
+        if wide and not single:
+            return Layer(text, layer, step, [(0, start, end, False)])
+        parts = parts or [(start, end)]
+        firsts = [0]
+        for a, b in parts:
+            firsts.append(firsts[-1] + b - a)
+
+        def source(sign: int) -> int:
+            k = min(bisect_right(firsts, sign) - 1, len(parts) - 1)
+            return parts[k][0] + sign - firsts[k]
+
         pieces, at = [], 0
-        if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            pieces = [(0, start, end, False)]
-        else:
-            for i, c in enumerate(text):
-                width = len(c.encode())
-                pieces.append((i, start + at * 4 // 3, min(end, start + -(-(at + width) * 4 // 3)), False))
-                at += width
+        for i, c in enumerate(text):
+            width = 1 if single else len(c.encode())
+            pieces.append((i, source(at * 4 // 3), min(end, source(-(-(at + width) * 4 // 3) - 1) + 1), False))
+            at += width
         return Layer(text, layer, step, pieces)
 
     def children(self, layer: Layer, oversized: list):
@@ -240,15 +254,38 @@ class Scanner:
                     yield self._noted(self._of_bytes(bytes.fromhex(m[0].replace("%", "")), layer, "url", m.start(), m.end(), True), layer, m.start(), m.end(), oversized)
         if "\\" in text:
             yield unicode_layer(layer)
+        read = 0
         for m in self.base64.finditer(text):
-            token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(token) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            yield self._noted(self._of_bytes(data, layer, "base64", m.start(), m.end(), False), layer, m.start(), m.end(), oversized)
+            parts = self._lines(text, m) if m.start() >= read else []
+            if len(parts) > 1:
+                made = list(self._decoded(layer, parts, oversized))
+                if made:
+                    read = parts[-1][1]
+                    yield from made
+            yield from self._decoded(layer, [m.span()], oversized)
+            one = self.narrow.match(text, m.start())  # a token of one alphabet with a sign of the other behind it
+            if one and one.end() != m.end():
+                yield from self._decoded(layer, [one.span()], oversized)
+
+    def _lines(self, text: str, m: re.Match) -> list[tuple[int, int]]:
+        """Spans of the lines of a wrapped token: as long as the first, the last one as long at most."""
+        parts, width = [m.span()], m.end() - m.start()
+        while parts[-1][1] - parts[-1][0] == width and text[parts[-1][1] - 1] != "=" and (more := self.line.match(text, parts[-1][1])) and more.end(1) - more.start(1) <= width:
+            parts.append(more.span(1))
+        return parts
+
+    def _decoded(self, layer: Layer, parts: list[tuple[int, int]], oversized: list):
+        joined = "".join(layer.text[a:b] for a, b in parts).rstrip("=").replace("-", "+").replace("_", "/")
+        if len(joined) % 4 == 1:
+            joined = joined[:-1]
+        try:
+            data = base64.b64decode(joined + "=" * (-len(joined) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            return
+        start, end = parts[0][0], parts[-1][1]
+        made = self._noted(self._of_bytes(data, layer, "base64", start, end, False, parts), layer, start, end, oversized)
+        if made is not None:
+            yield made
 
     @staticmethod
     def _noted(made, layer: Layer, start: int, end: int, oversized: list) -> Layer | None:
