@@ -330,6 +330,26 @@ def rule_union_sorted(spark, d):
     return rules.in_order(_violations(spark, d)).select("rule_id", "severity", "message", "file", "line")
 
 
+def _all_violations(spark, d) -> DataFrame:
+    """_violations has what its SQL twin has; these have cycles as well, whose walk SQL can't follow."""
+    return rules.union([_violations(spark, d), rules.cycles(_path_edges(spark, d))])
+
+
+@query()
+def all_violations(spark, d):
+    return rules.in_order(_all_violations(spark, d)).select("rule_id", "severity", "message", "file", "line")
+
+
+@query()
+def all_violations_score(spark, d):
+    return score.score(_all_violations(spark, d)).select("circular", "layer", "size", "god_object", "total", "exit_code")
+
+
+@query()
+def all_violations_summary(spark, d):
+    return score.summary(_all_violations(spark, d))
+
+
 ELIGIBLE = [("r1", True, False, ["Go"]), ("r2", True, False, ["Python", "Go"]), ("r3", False, False, []), ("r4", True, True, ["TypeScript"]), ("r5", True, False, ["JavaScript"])]
 
 
