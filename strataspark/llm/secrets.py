@@ -6,12 +6,17 @@ Every new layer joins the worklist until none is left. A layer equal to one of i
 the same decoding of the same source characters is done once. Each layer maps its characters to its parent's, so a
 finding in any layer has a span in the source text.
 
-A decompressed layer over ``max_layer`` bytes isn't scanned; it is reported with kind ``oversized``.
+Work is linear in the text and what it decodes to. Escapes are decoded layer by layer twice; what is still escaped after
+that is decoded to its fixpoint at once (step ``escapes``), so n-fold escapes don't make n layers. A decompressed layer of
+more than ``piece`` bytes is decompressed as a stream and scanned in pieces that share ``overlap`` bytes; a single secret or
+encoded part of more than ``overlap`` bytes across a border of pieces is seen in its parts only.
+
+Encoded runs that are too short to hold any finding aren't decoded: no rule matches fewer than ``LEAST`` characters.
 
 Defined results: null and empty texts have no findings; texts are scanned whole; spans are [start, end) in characters; of
 the same span and kind the least deep finding is given; repeated rows have repeated findings; a null doc_id is carried
-along; redaction leaves null texts and texts without findings as they are, and joins overlapping spans; empty tables give
-empty results; other columns are not looked at, and ``redact`` keeps them.
+along; doc_id must be of a type that casts to bigint; redaction leaves null texts and texts without findings as they are, and
+joins overlapping spans; empty tables give empty results; other columns are not looked at, and ``redact`` keeps them.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -37,9 +44,9 @@ from .textkit import map_batches
 
 @dataclass(frozen=True)
 class Params:
-    min_base64: int = 24
     min_printable: float = 0.9
-    max_layer: int = 64 << 20
+    piece: int = 64 << 20  # bytes of a decompressed layer that are scanned at a time
+    overlap: int = 4 << 20
 
 
 #: (kind, literals of which a text must hold one, lower-case, pattern); the group ``s`` is the secret where there is one.
@@ -49,21 +56,24 @@ RULES = [
     ("slack_token", ("xox",), r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}"),
     ("google_api_key", ("aiza",), r"\bAIza[0-9A-Za-z_-]{35}"),
     ("stripe_key", ("k_live_", "k_test_"), r"\b[srp]k_(?:live|test)_[0-9A-Za-z]{16,}"),
-    ("private_key", ("-----begin ",), r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?"),
-    ("json_web_token", ("eyj",), r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("url_password", ("://",), r"\b[a-zA-Z][a-zA-Z0-9+.-]*://[^\s:/@]+:(?P<s>[^\s:/@]{6,})@"),
+    ("private_key", ("-----begin ",), r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"),
+    ("json_web_token", ("eyj",), r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}"),
+    ("url_password", ("://",), r"(?<=[a-zA-Z0-9+.-])://[^\s:/@]+:(?P<s>[^\s:/@]{6,})@"),
     ("assigned_secret", ("key", "secret", "token", "passw", "pwd", "credential"), r"(?i)(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|(?:auth|access|refresh)?[_-]?token|passw(?:or)?d|pwd|credentials?)[\"']?\s*(?::=|=>|[:=])\s*[\"']?(?P<s>[A-Za-z0-9+/_.~-]{12,}={0,2})"),
 ]
 COMPILED = [(kind, literals, re.compile(pattern)) for kind, literals, pattern in RULES]
+KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+TOKEN_START = re.compile(r"(?<![A-Za-z0-9_])eyJ(?=[A-Za-z0-9_-]{8})")
+#: No rule matches fewer characters (``s://u:secret@``, with the sign before it), in any layer. Nothing that compresses is shorter.
+LEAST = 13
+LEAST_BASE64, LEAST_PERCENT = -(-LEAST * 4 // 3), 3 * LEAST
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})")
+#: The same, and URL escapes, at the end of a text.
+ENDING = re.compile(r"(?:%(?P<p>[0-9A-Fa-f]{2})|\\u(?P<u>[0-9A-Fa-f]{4})|\\u\{(?P<b>[0-9A-Fa-f]{1,6})\}|\\U(?P<l>[0-9A-Fa-f]{8})|\\x(?P<x>[0-9A-Fa-f]{2}))\Z")
 MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"\x78\x01", "zlib"), (b"\x78\x5e", "zlib"), (b"\x78\x9c", "zlib"), (b"\x78\xda", "zlib"))
 
 
-class Oversized(Exception):
-    pass
-
-
 class Layer:
     """A decoded text. pieces: (start, source start, source end, plain), sorted; plain pieces map character by character."""
 
@@ -94,25 +104,109 @@ class Layer:
         return False
 
 
-def decompress(data: bytes, limit: int) -> tuple[bytes, str] | None:
-    """(content, method) of compressed data, all its members; None for other data."""
-    kind = next((k for magic, k in MAGIC if data.startswith(magic)), None)
-    out, rest = b"", data
+def kind_of(data: bytes) -> str | None:
+    return next((kind for magic, kind in MAGIC if data.startswith(magic)), None)
+
+
+class _Source(io.RawIOBase):
+    """A file over an iterator of bytes."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.rest = chunks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, size: int = -1) -> bytes:
+        while not self.rest:
+            if (more := next(self.chunks, None)) is None:
+                return b""
+            self.rest = more
+        out, self.rest = (self.rest, b"") if size < 0 else (self.rest[:size], self.rest[size:])
+        return out
+
+    def readinto(self, into) -> int:
+        data = self.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+
+def unpacked(chunks: Iterator[bytes], kind: str, size: int = 1 << 20) -> Iterator[bytes]:
+    """What compressed bytes hold, all members of it, in chunks of at most ``size``; as far as it can be read."""
     try:
         if kind == "zstd":
             import zstandard
 
-            out = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read(limit + 1)
-        while kind not in (None, "zstd") and rest and len(out) <= limit:
+            reader = zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(_Source(chunks), read_across_frames=True)
+            while data := reader.read(size):
+                yield data
+            return
+        source, rest = _Source(chunks), b""
+        while True:
             engine = zlib.decompressobj(47) if kind in ("gzip", "zlib") else bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor(memlimit=256 << 20)
-            out += engine.decompress(rest, limit + 1 - len(out))
-            rest = engine.unused_data.lstrip(b"\0")
+            while not rest.lstrip(b"\0"):
+                if not (rest := source.read(size)):
+                    return
+            rest = rest.lstrip(b"\0")
+            while not engine.eof:
+                if not rest and getattr(engine, "needs_input", True) and not (rest := source.read(size)):
+                    return
+                data = engine.decompress(rest, size)
+                rest = getattr(engine, "unconsumed_tail", b"")
+                if data:
+                    yield data
+            rest = engine.unused_data
     except Exception as error:  # each library has its own error for bytes that only look compressed
         if isinstance(error, MemoryError):
             raise
-    if len(out) > limit:
-        raise Oversized
-    return (out, kind) if out else None
+
+
+def decompressed(data: bytes, most: int) -> tuple[bytes | Callable[[], Iterator[bytes]] | None, list[str]]:
+    """(content, methods) of data that is compressed, however often: bytes, or a function that streams more than ``most``
+    bytes; None where it isn't compressed. A content that was met before, as of data that hold themselves, ends the chain."""
+    seen, methods, content = {hashlib.sha256(data).digest()}, [], data
+    stream: Callable[[], Iterator[bytes]] = lambda: iter([data])
+    head = data[:8]
+    while (kind := kind_of(head)) is not None:
+
+        def inner(outer=stream, kind=kind) -> Iterator[bytes]:
+            return unpacked(outer(), kind)
+
+        digest, size, kept = hashlib.sha256(), 0, []
+        for chunk in inner():
+            digest.update(chunk)
+            size += len(chunk)
+            if size <= most:
+                kept.append(chunk)
+            elif len(kept) > 1:
+                kept = [b"".join(kept)[:8]]
+        if not size or digest.digest() in seen:
+            break
+        seen.add(digest.digest())
+        methods.append(kind)
+        head = b"".join(kept)[:8]
+        if size <= most:
+            content = b"".join(kept)
+            stream = lambda content=content: iter([content])
+        else:
+            content = stream = inner
+    return (content if methods else None), methods
+
+
+def pieces_of(content: bytes | Callable[[], Iterator[bytes]], p: Params) -> Iterator[bytes]:
+    """The whole of ``content``, in pieces that share ``overlap`` bytes where it is streamed."""
+    if isinstance(content, bytes):
+        yield content
+        return
+    held, fresh = bytearray(), 0
+    for chunk in content():
+        held += chunk
+        fresh += len(chunk)
+        if len(held) >= p.piece:
+            yield bytes(held)
+            held, fresh = held[-p.overlap :], 0
+    if fresh:
+        yield bytes(held)
 
 
 def printable(data: bytes, least: float) -> str | None:
@@ -186,11 +280,66 @@ def unicode_layer(layer: Layer) -> Layer | None:
     return _in_place(layer, "unicode", runs) if runs else None
 
 
+def escapes_layer(layer: Layer) -> Layer | None:
+    """All URL and Unicode escapes, of escapes too, decoded to their fixpoint in one pass."""
+    out: list[tuple[str | int, int, int, bool]] = []  # a character, or the value of a byte that may be part of one; its span; changed
+
+    def tail(n: int) -> str:
+        return "".join(x[0] if isinstance(x[0], str) else "\0" for x in out[-n:])
+
+    def settle() -> None:
+        """Decode what the last item completes."""
+        while out:
+            last = out[-1][0]
+            if isinstance(last, int):
+                for width in (2, 3, 4):
+                    run = out[-width:]
+                    if len(run) == width and all(isinstance(x[0], int) for x in run):
+                        try:
+                            made = bytes(x[0] for x in run).decode()
+                        except UnicodeDecodeError:
+                            continue
+                        if len(made) == 1:
+                            out[-width:] = [(made, run[0][1], run[-1][2], True)]
+                            break
+                return
+            if 0xDC00 <= ord(last) < 0xE000 and len(out) > 1 and isinstance(out[-2][0], str) and 0xD800 <= ord(out[-2][0]) < 0xDC00:
+                made = chr(0x10000 + ((ord(out[-2][0]) - 0xD800) << 10) + ord(last) - 0xDC00)
+                out[-2:] = [(made, out[-2][1], out[-1][2], True)]
+                return
+            if last not in "0123456789abcdefABCDEF}":
+                return
+            m = ENDING.search(tail(12))
+            if m is None:
+                return
+            code, width = int(m["p"] or m["u"] or m["b"] or m["l"] or m["x"], 16), m.end() - m.start()
+            if code >= 0x110000 or m["p"] is None and m["l"] is not None and 0xD800 <= code < 0xE000:
+                return
+            out[-width:] = [(code if m["p"] and code >= 0x80 else chr(code), out[-width][1], out[-1][2], True)]
+
+    for i, c in enumerate(layer.text):
+        out.append((c, i, i + 1, False))
+        settle()
+    if not any(x[3] for x in out):
+        return None
+    text, pieces, length = [], [], 0
+    for item, start, end, changed in out:
+        if isinstance(item, int) or 0xD800 <= ord(item) < 0xE000:
+            item, changed = layer.text[start:end], False
+        if changed or not pieces or not pieces[-1][3] or pieces[-1][2] != start:
+            pieces.append((length, start, end, not changed))
+        else:
+            pieces[-1] = (pieces[-1][0], pieces[-1][1], end, True)
+        text.append(item)
+        length += len(item)
+    made = "".join(text)
+    return Layer(made, layer, "escapes", pieces) if made != layer.text else None
+
+
 class Scanner:
     def __init__(self, p: Params = Params()):
         self.p = p
-        n = p.min_base64
-        sign = "[A-Za-z0-9+/_-]"
+        sign, n = "[A-Za-z0-9+/_-]", LEAST_BASE64
         self.base64 = re.compile(rf"(?<!{sign}){sign}{{{n},}}={{0,2}}")
         self.narrow = re.compile(rf"(?:[A-Za-z0-9+/]{{{n},}}|[A-Za-z0-9_-]{{{n},}})={{0,2}}")
         self.line = re.compile(rf"\r?\n[ \t]*({sign}+={{0,2}})(?!{sign})")
@@ -198,37 +347,59 @@ class Scanner:
     def rules(self, text: str):
         low = text.lower()
         for kind, literals, pattern in COMPILED:
-            if any(x in low for x in literals):
-                for m in pattern.finditer(text):
-                    name = "s" if "s" in pattern.groupindex else 0
-                    value = m[name]
-                    if kind == "assigned_secret" and not (any(map(str.isdigit, value)) and len(set(value)) >= 6):
-                        continue
-                    yield kind, m.start(name), m.end(name), value
+            if not any(x in low for x in literals):
+                continue
+            if kind == "private_key":
+                ends = [m.end() for m in KEY_END.finditer(text)]
+            for m in pattern.finditer(text):
+                name = "s" if "s" in pattern.groupindex else 0
+                start, end = m.span(name)
+                if kind == "private_key" and (at := bisect_right(ends, end)) < len(ends):
+                    end = ends[at]
+                elif kind == "json_web_token":
+                    yield from self._tokens(m[0], start)
+                    continue
+                value = text[start:end]
+                if kind == "assigned_secret" and not (any(map(str.isdigit, value)) and len(set(value)) >= 6):
+                    continue
+                yield kind, start, end, value
+
+    @staticmethod
+    def _tokens(dotted: str, start: int):
+        """Web tokens in parts joined by dots: two that begin with eyJ, and a third."""
+        parts, at, i = dotted.split("."), [0], 0
+        for x in parts:
+            at.append(at[-1] + len(x) + 1)
+        while i + 2 < len(parts):
+            a, b, c = parts[i : i + 3]
+            if b.startswith("eyJ") and len(b) >= 11 and len(c) >= 8 and (first := TOKEN_START.search(a)):
+                begin, end = at[i] + first.start(), at[i + 3] - 1
+                yield "json_web_token", start + begin, start + end, dotted[begin:end]
+                i += 3
+            else:
+                i += 1
 
     def _of_bytes(self, data: bytes, layer: Layer, step: str, start: int, end: int, whole_only: bool, parts: list[tuple[int, int]] | None = None):
-        """The layer of decoded bytes, if they are text or compress a text, however often; a span inside base64 text maps to
+        """The layers of decoded bytes, if they are text or compress a text, however often; a span inside base64 text maps to
         its signs. What was compressed is a text in any case: bytes that aren't UTF-8 are read as Latin-1."""
-        seen, inner = {data}, data
-        try:
-            while (more := decompress(inner, self.p.max_layer)) is not None and more[0] not in seen:
-                inner, step = more[0], f"{step}+{more[1]}"
-                seen.add(inner)
-        except Oversized:
-            return "oversized"
-        if inner is not data:
-            return Layer(printable(inner, 0) or inner.decode("latin-1"), layer, step, [(0, start, end, False)])
+        content, methods = decompressed(data, self.p.piece)
+        if content is not None:
+            step = "+".join([step, *methods])
+            for piece in pieces_of(content, self.p):
+                yield Layer(printable(piece, 0) or piece.decode("latin-1"), layer, step, [(0, start, end, False)])
+            return
         if whole_only:
-            return None
+            return
         text = printable(data, self.p.min_printable)
         wide = data[:2] in (b"\xff\xfe", b"\xfe\xff")
         single = text is None
         if single:
             text = data.decode("latin-1")
             if sum(c.isprintable() or c in "\n\r\t" for c in text) < self.p.min_printable * len(text):
-                return None
+                return
         if wide and not single:
-            return Layer(text, layer, step, [(0, start, end, False)])
+            yield Layer(text, layer, step, [(0, start, end, False)])
+            return
         parts = parts or [(start, end)]
         firsts = [0]
         for a, b in parts:
@@ -243,29 +414,31 @@ class Scanner:
             width = 1 if single else len(c.encode())
             pieces.append((i, source(at * 4 // 3), min(end, source(-(-(at + width) * 4 // 3) - 1) + 1), False))
             at += width
-        return Layer(text, layer, step, pieces)
+        yield Layer(text, layer, step, pieces)
 
-    def children(self, layer: Layer, oversized: list):
+    def children(self, layer: Layer):
         text = layer.text
+        if "%" in text or "\\" in text:
+            if sum(x in ("url", "unicode", "escapes") for x in layer.path[-2:]) == 2:
+                yield escapes_layer(layer)
+            else:
+                yield url_layer(layer) if "%" in text else None
+                yield unicode_layer(layer) if "\\" in text else None
         if "%" in text:
-            yield url_layer(layer)
             for m in PERCENT.finditer(text):
-                if m.end() - m.start() >= 30:
-                    yield self._noted(self._of_bytes(bytes.fromhex(m[0].replace("%", "")), layer, "url", m.start(), m.end(), True), layer, m.start(), m.end(), oversized)
-        if "\\" in text:
-            yield unicode_layer(layer)
+                if m.end() - m.start() >= LEAST_PERCENT:
+                    yield from self._of_bytes(bytes.fromhex(m[0].replace("%", "")), layer, "url", m.start(), m.end(), True)
         read = 0
         for m in self.base64.finditer(text):
             parts = self._lines(text, m) if m.start() >= read else []
             if len(parts) > 1:
-                made = list(self._decoded(layer, parts, oversized))
-                if made:
-                    read = parts[-1][1]
-                    yield from made
-            yield from self._decoded(layer, [m.span()], oversized)
+                read = parts[-1][1]
+                for first, last in self._blocks(text, parts):
+                    yield from self._decoded(layer, parts[first:last])
+            yield from self._decoded(layer, [m.span()])
             one = self.narrow.match(text, m.start())  # a token of one alphabet with a sign of the other behind it
             if one and one.end() != m.end():
-                yield from self._decoded(layer, [one.span()], oversized)
+                yield from self._decoded(layer, [one.span()])
 
     def _lines(self, text: str, m: re.Match) -> list[tuple[int, int]]:
         """Spans of the lines of a wrapped token: as long as the first, the last one as long at most."""
@@ -274,25 +447,39 @@ class Scanner:
             parts.append(more.span(1))
         return parts
 
-    def _decoded(self, layer: Layer, parts: list[tuple[int, int]], oversized: list):
-        joined = "".join(layer.text[a:b] for a, b in parts).rstrip("=").replace("-", "+").replace("_", "/")
+    def _blocks(self, text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Which lines of a wrapped token may be decoded together: all; from one on that begins as compressed data do; and
+        the longest runs of several that each decode to text."""
+        out, run = [(0, len(parts))], None
+        if (parts[0][1] - parts[0][0]) % 4:
+            return out
+        for i, (a, b) in enumerate([*parts, (0, 0)]):
+            data = self._bytes(text[a:b]) or b""
+            if i and kind_of(data):
+                out.append((i, len(parts)))
+            is_text = bool(data) and sum(32 <= c < 127 or c in b"\n\r\t" or c >= 0xA0 for c in data) >= self.p.min_printable * len(data)
+            if is_text and run is None:
+                run = i
+            elif not is_text and run is not None:
+                if i - run > 1 and (run, i) != out[0]:
+                    out.append((run, i))
+                run = None
+        return out
+
+    @staticmethod
+    def _bytes(joined: str) -> bytes | None:
+        joined = joined.rstrip("=").replace("-", "+").replace("_", "/")
         if len(joined) % 4 == 1:
             joined = joined[:-1]
         try:
-            data = base64.b64decode(joined + "=" * (-len(joined) % 4), validate=True)
+            return base64.b64decode(joined + "=" * (-len(joined) % 4), validate=True)
         except (binascii.Error, ValueError):
-            return
-        start, end = parts[0][0], parts[-1][1]
-        made = self._noted(self._of_bytes(data, layer, "base64", start, end, False, parts), layer, start, end, oversized)
-        if made is not None:
-            yield made
-
-    @staticmethod
-    def _noted(made, layer: Layer, start: int, end: int, oversized: list) -> Layer | None:
-        if made == "oversized":
-            oversized.append((layer, start, end))
             return None
-        return made
+
+    def _decoded(self, layer: Layer, parts: list[tuple[int, int]]):
+        data = self._bytes("".join(layer.text[a:b] for a, b in parts))
+        if data is not None:
+            yield from self._of_bytes(data, layer, "base64", parts[0][0], parts[-1][1], False, parts)
 
     def __call__(self, text: str | None) -> list[tuple[str, int, int, int, str, str]]:
         """(kind, start, end, depth, path, digest of the secret), in order of start."""
@@ -305,16 +492,13 @@ class Scanner:
             for kind, start, end, value in self.rules(layer.text):
                 key = (*layer.to_source(start, end), kind)
                 best.setdefault(key, (len(layer.path), ">".join(layer.path), hashlib.sha256(value.encode("utf-8", "replace")).hexdigest()))
-            oversized: list = []
-            for child in self.children(layer, oversized):
+            for child in self.children(layer):
                 if child is None or child.cyclic():
                     continue
                 key = (child.digest, child.to_source(0, len(child.text)))
                 if key not in done:
                     done.add(key)
                     work.append(child)
-            for at, start, end in oversized:
-                best.setdefault((*at.to_source(start, end), "oversized"), (len(at.path) + 1, ">".join(at.path), ""))
         return [(kind, start, end, *rest) for (start, end, kind), rest in sorted(best.items())]
 
 
