@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,27 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def batch_shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """``shingles`` of each text of a batch: words are lower-cased runs of no white space, each distinct one hashed once."""
+    import xxhash
+
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    flat, ends = lists.flatten(), np.cumsum(np.concatenate([[0], np.diff(lists.offsets.to_numpy())]))
+    filled = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    ends = before[ends]
+    coded = flat.filter(filled).dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), U64, len(coded.dictionary))
+    words = known[coded.indices.to_numpy()] if len(coded) else np.array([], U64)
+    out = np.zeros(max(0, len(words) - k + 1), U64)
+    for i in range(k):
+        out = out * M1 + mix(words[i : len(out) + i] + U64((i + 1) * int(M2) % 2**64))
+    out, made = mix(out), []
+    for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        made.append(np.unique(out[start : end - k + 1]) if end - start >= k else shingles(words[start:end], k))
+    return made
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with one ``make()`` a task, so that caches live as long as the task."""
 
