@@ -57,24 +57,36 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def batch_shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """``shingles`` of each text of a batch: words are lower-cased runs of no white space, each distinct one hashed once."""
-    import xxhash
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of words that aren't empty, by multilinear hashing of their bytes: the sum of a random number for each byte
+    value times one for each place."""
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[starts[0] : starts[-1]]
+    starts, lengths = starts[:-1] - starts[0], np.diff(starts)
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    values, places = mix(np.arange(1, 257, dtype=U64) * M2), mix(np.arange(1, lengths.max() + 1, dtype=U64) * M3) | U64(1)
+    return mix(np.add.reduceat(values[data] * places[place], starts) + lengths.astype(U64) * M1)
+
 
+def batch_shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles of each text of a batch; words are lower-cased runs of no white space. A
+    shorter text with a word is one shingle."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     flat, ends = lists.flatten(), np.cumsum(np.concatenate([[0], np.diff(lists.offsets.to_numpy())]))
     filled = pc.greater(pc.binary_length(flat), 0)
     before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
-    ends = before[ends]
-    coded = flat.filter(filled).dictionary_encode()
-    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), U64, len(coded.dictionary))
-    words = known[coded.indices.to_numpy()] if len(coded) else np.array([], U64)
+    ends, flat = before[ends], flat.filter(filled)
+    words = word_hashes(flat) if len(flat) else np.array([], U64)
     out = np.zeros(max(0, len(words) - k + 1), U64)
     for i in range(k):
         out = out * M1 + mix(words[i : len(out) + i] + U64((i + 1) * int(M2) % 2**64))
     out, made = mix(out), []
     for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        made.append(np.unique(out[start : end - k + 1]) if end - start >= k else shingles(words[start:end], k))
+        if end - start < k:
+            made.append(shingles(words[start:end], k))
+            continue
+        one = np.sort(out[start : end - k + 1])
+        made.append(one[np.concatenate(([True], one[1:] != one[:-1]))])
     return made
 
 
