@@ -9,7 +9,9 @@ Kinds: email, phone, ipv4, card (Luhn), iban (mod 97), us_ssn.
 
 Defined results: null and empty texts have no findings; texts are read whole; spans are [start, end) in characters; where
 identifiers overlap, the kind earlier in ``KINDS`` has its place; repeated rows have repeated findings; a null doc_id is
-carried along; an empty table has none; other columns are not looked at.
+carried along, one that doesn't cast to bigint is an error; an empty table has none; other columns are not looked at.
+
+Work is linear in a text: addresses are looked for from their at signs outwards, and no pattern reads a run of signs twice.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ DIGIT_WORDS = {
 }
 _DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9])"
 #: Seven digits or more, spelled or not, in a row; a run of plain digits only isn't changed.
-SPELLED = re.compile(rf"(?<!\w)\+?{_DIGIT}(?:[ \t]*[-.,()]?[ \t]*(?:(?<![A-Za-z])|(?<=[0-9])){_DIGIT}){{6,}}(?!\w)", re.IGNORECASE)
+SPELLED = re.compile(rf"(?<!\w)\+?{_DIGIT}(?:[ \t]*+[-.,()]?+[ \t]*+(?:(?<![A-Za-z])|(?<=[0-9])){_DIGIT}){{6,}}(?!\w)", re.IGNORECASE)
 DIGIT_TOKEN = re.compile("|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9]", re.IGNORECASE)
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 #: No identifier or disguise goes over a line's end: the costly patterns see only the lines in which a cheap one, over the
@@ -77,17 +79,23 @@ _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 SPELLED_HINT = re.compile(rf"{_WORD}[-.,() \t]+(?:{_WORD}|[0-9])")
 DETECT_HINT = re.compile("[0-9@]")
 
-_AT = r"[ \t]*(?:[\[({<][ \t]*(?:at|@|arroba|ät|chez)[ \t]*[\])}>])[ \t]*"
-_DOT = r"[ \t]*(?:[\[({<][ \t]*(?:dot|punkt|point|punto|\.)[ \t]*[\])}>])[ \t]*"
-_WORD_AT, _WORD_DOT = r"[ \t]+(?:at|arroba)[ \t]+", r"[ \t]+(?:dot|punkt|point|punto)[ \t]+"
+_AT = r"[ \t]*+(?:[\[({<][ \t]*+(?:at|@|arroba|ät|chez)[ \t]*+[\])}>])[ \t]*+"
+_DOT = r"[ \t]*+(?:[\[({<][ \t]*+(?:dot|punkt|point|punto|\.)[ \t]*+[\])}>])[ \t]*+"
+_WORD_AT, _WORD_DOT = r"[ \t]++(?:at|arroba)[ \t]++", r"[ \t]++(?:dot|punkt|point|punto)[ \t]++"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 _ANY_DOT = rf"(?:{_DOT}|{_WORD_DOT}|\.)"
-#: An address with at least one disguise: bracketed signs anywhere; a bare word for @ needs a disguised dot after it.
-DISGUISED = re.compile(rf"(?<![\w.@])[A-Za-z0-9_%+-]+(?:{_ANY_DOT}[A-Za-z0-9_%+-]+)*?(?:(?:{_AT}|[ \t]*@[ \t]*){_LABEL}|{_WORD_AT}{_LABEL}(?:\.{_LABEL})*(?:{_DOT}|{_WORD_DOT}){_LABEL})(?:{_ANY_DOT}{_LABEL})*", re.IGNORECASE)
+#: An address has at least one disguise: bracketed signs anywhere; a bare word for @ needs a disguised dot after it. It is
+#: looked for from its at sign on: the domain after the sign, and what is before it in the line read backwards.
+AT_SIGN = re.compile(rf"(?<![ \t])(?:(?P<word>{_WORD_AT})|{_AT}|[ \t]*+@[ \t]*+)|(?<=[ \t])[\[({{<][ \t]*+(?:at|@|arroba|ät|chez)[ \t]*+[\])}}>][ \t]*+", re.IGNORECASE)
+AFTER_SIGN = re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL})*", re.IGNORECASE)
+AFTER_WORD = re.compile(rf"{_LABEL}(?:\.{_LABEL})*(?:{_DOT}|{_WORD_DOT}){_LABEL}(?:{_ANY_DOT}{_LABEL})*", re.IGNORECASE)
+_DOT_BACK = r"(?:[ \t]*+(?:[\])}>][ \t]*+(?:tod|tknup|tniop|otnup|\.)[ \t]*+[\[({<])[ \t]*+|[ \t]++(?:tod|tknup|tniop|otnup)[ \t]++|\.)"
+ATOM_BACK = re.compile(rf"(?P<dot>{_DOT_BACK})?(?P<atom>[A-Za-z0-9_%+-]++)", re.IGNORECASE)
 DISGUISE_HINT = re.compile(r"[\[({<][ \t]*(?:at|@|arroba|ät|chez|dot|punkt|point|punto|\.)[ \t]*[\])}>]|dot[ \t]|punkt[ \t]|point[ \t]|punto[ \t]|arroba[ \t]|@[ \t]|[ \t]@")
-SIGN = re.compile(rf"(?P<at>{_AT}|{_WORD_AT}|[ \t]*@[ \t]*)|(?P<dot>{_DOT}|{_WORD_DOT})", re.IGNORECASE)
+SIGN = re.compile(rf"(?<![ \t])(?:(?P<at>{_AT}|{_WORD_AT}|[ \t]*+@[ \t]*+)|(?P<dot>{_DOT}|{_WORD_DOT}))", re.IGNORECASE)
 
-EMAIL = re.compile(r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-."
+DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 CARD = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")
 SSN = re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
@@ -175,15 +183,51 @@ def plain_digits(m: Mapped) -> Mapped:
     return m.rewritten(edits)
 
 
+def disguised_addresses(text: str, start: int, end: int):
+    """Spans of the addresses in one line."""
+    low, backwards = start, None
+    at = start
+    while (sign := AT_SIGN.search(text, at, end)) is not None:
+        at = sign.end()
+        after = (AFTER_WORD if sign["word"] else AFTER_SIGN).match(text, sign.end(), end)
+        if after is None or sign.start() <= low:
+            continue
+        if backwards is None:
+            backwards = text[start:end][::-1]
+        position, stop, first = end - sign.start(), end - low, None
+        while (atom := ATOM_BACK.match(backwards, position, stop)) is not None and (atom["dot"] is None) == (position == end - sign.start()):
+            position = atom.end()
+            before = text[end - position - 1 : end - position] if end - position > 0 else ""
+            if not before or not (before.isalnum() or before in "_.@"):
+                first = end - position
+        if first is not None:
+            yield first, after.end()
+            low = at = after.end()
+
+
 def plain_addresses(m: Mapped) -> Mapped:
     """at/dot disguises within an address to ``@`` and ``.``."""
     edits = []
     for line in lines_with(DISGUISE_HINT, lower(m.text)):
-        for address in DISGUISED.finditer(m.text, *line):
-            edits += [(s.start(), s.end(), "@" if s["at"] else ".") for s in SIGN.finditer(m.text, address.start(), address.end()) if s[0] not in "@."]
+        for address in disguised_addresses(m.text, *line):
+            edits += [(s.start(), s.end(), "@" if s["at"] else ".") for s in SIGN.finditer(m.text, *address) if s[0] not in "@."]
     return m.rewritten(edits)
 
 
+def emails(text: str, start: int, end: int):
+    """Spans of the addresses in one line, from their @ outwards."""
+    low, at = start, start - 1
+    while (at := text.find("@", at + 1, end)) >= 0:
+        local = text[low:at]
+        local = local[len(local.rstrip(LOCAL)) :].rpartition("..")[2].removeprefix(".")
+        domain = DOMAIN.match(text, at + 1, end)
+        low = max(low, at + 1)
+        if domain is not None and local and not local.endswith("."):
+            yield at - len(local), domain.end()
+            low = domain.end()
+            at = low - 1
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -199,8 +243,8 @@ def iban(value: str) -> bool:
 def detect(text: str):
     """(kind, start, end, value) in a normalised text."""
     for line in lines_with(DETECT_HINT, text):
-        for m in EMAIL.finditer(text, *line):
-            yield "email", m.start(), m.end(), m[0].lower()
+        for start, end in emails(text, *line):
+            yield "email", start, end, text[start:end].lower()
         for m in IBAN.finditer(text, *line):
             if iban(value := m[0].replace(" ", "")):
                 yield "iban", m.start(), m.end(), value
@@ -231,12 +275,12 @@ def find(text: str | None) -> list[tuple[str, int, int, str, bool]]:
             if sum(map(str.isalpha, text[start:end])) >= 3:
                 found.append(("phone", m.start(), m.end(), m[0]))
     found.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
-    out, taken = [], []
+    out, taken = [], bytearray(len(text)) if found else b""
     for kind, start, end, value in found:
         a, b = last.to_source(start, end)
-        if any(a < y and x < b for x, y in taken):
+        if any(taken[a:b]):
             continue
-        taken.append((a, b))
+        taken[a:b] = b"\1" * (b - a)
         out.append((kind, a, b, value, text[a:b].lower() != last.text[start:end].lower()))
     return sorted(out, key=lambda x: x[1:3])
 
