@@ -2,7 +2,7 @@
 
 A shard is one WARC file: a skippable frame that holds a Zstandard dictionary, then one Zstandard frame a record, each
 compressed on its own with that dictionary, so that any record can be read by its offset. Every shard trains its own
-dictionary on its own records, evenly spaced over the shard; tasks need nothing from one another, and nothing is shuffled.
+dictionary on chunks evenly spaced over all bytes of its records; tasks need nothing from one another, and nothing is shuffled.
 A task buffers at most ``shard_bytes`` of records (and one record more) before it closes a shard.
 
 Record ids are derived from the record, dates are a parameter: a task that runs again writes the same bytes.
@@ -10,12 +10,14 @@ Record ids are derived from the record, dates are a parameter: a task that runs
 Defined results: a null html is an empty payload, a null url an empty target, both flagged by a missing WARC-Target-URI or
 a Content-Length of 0; line ends within a url are escaped; a null page_id has no X-Page-Id; repeated rows are repeated
 records; a record of any length is one frame; an empty table has no shards; shards of too little or too uniform text to
-train on take their records' own bytes as a raw dictionary; other columns are not looked at.
+train on take their records' own bytes as a raw dictionary; a page_id that doesn't cast to bigint is an error; other columns
+are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -34,7 +36,8 @@ MAGIC = 0x184D2A5D  # the skippable frame that marks a dictionary at the head of
 class Params:
     shard_bytes: int = 64 << 20
     dictionary_bytes: int = 64 << 10
-    sample_factor: int = 40  # bytes to train on, as a multiple of the dictionary
+    sample_factor: int = 40  # bytes to train on, at most, as a multiple of the dictionary
+    chunk_bytes: int = 4 << 10  # of the chunks to train on
     level: int = 3
     date: str = "2024-01-01T00:00:00Z"
 
@@ -55,12 +58,17 @@ def record(page_id: int | None, url: str | None, html: str | None, date: str) ->
 
 
 def dictionary(records: list[bytes], p: Params) -> bytes:
-    """A dictionary trained on records evenly spaced over the shard; of raw bytes where training can't be done."""
+    """A dictionary trained on chunks of whole records: all, or every n-th where they are over ``sample_factor`` dictionaries;
+    of raw bytes where training can't be done."""
     import zstandard
 
     wanted, total = p.dictionary_bytes * p.sample_factor, sum(map(len, records))
-    step = max(1, total // wanted)
-    sample = [r[: p.dictionary_bytes] for r in records[::step]]
+    step, number, sample = -(-total // wanted), 0, []
+    for r in records:
+        for at in range(0, len(r), p.chunk_bytes):
+            if number % step == 0:
+                sample.append(r[at : at + p.chunk_bytes])
+            number += 1
     size = min(p.dictionary_bytes, max(256, total // 8))
     try:
         return zstandard.train_dictionary(size, sample, level=p.level).as_bytes()
@@ -161,20 +169,22 @@ def frames(pages: DataFrame, p: Params = Params()) -> DataFrame:
 def write(pages: DataFrame, folder: str, p: Params = Params()) -> DataFrame:
     """Write <folder>/<shard>.warc.zst from the executors; (shard, records, bytes) of the files.
 
-    ``folder`` is one that all executors share. A file appears under its name only once it is complete, so a task that is
+    ``folder`` is one that all executors share: a path, or a URI of any file system that pyarrow knows. A file appears under its name only once it is complete, so a task that is
     repeated replaces it by the same bytes.
     """
-    import os
-
     made = frames(pages, p)
-    os.makedirs(folder, exist_ok=True)
+    place = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(place)
+        files.create_dir(root, recursive=True)
         current, out, temporary, rows, size, done = None, None, "", 0, 0, []
 
         def close():
             out.close()
-            os.replace(temporary, f"{folder}/{current}.warc.zst")
+            files.move(temporary, f"{root}/{current}.warc.zst")
             done.append((current, rows, size))
 
         for batch in batches:
@@ -183,8 +193,8 @@ def write(pages: DataFrame, folder: str, p: Params = Params()) -> DataFrame:
                     if out is not None:
                         close()
                     current, rows, size = name, 0, 0
-                    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
-                    out = open(temporary, "wb")
+                    temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
+                    out = files.open_output_stream(temporary)
                 data = frame.as_buffer()
                 out.write(data)
                 size += len(data)
