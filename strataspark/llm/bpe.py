@@ -8,7 +8,8 @@ The vocabulary file is read on the driver and sent to the workers as bytes: exec
 
 Defined results: a null text has null tokens; an empty text has none; a repeated row is encoded again, with the same
 result; texts are encoded whole; special tokens have no meaning in a text; decoding nulls gives null; ids outside the
-vocabulary raise an error; other columns are not looked at.
+vocabulary raise an error, and so does a vocabulary without all 256 bytes, on the driver; a doc_id that doesn't cast to bigint
+is an error; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ class Codec:
         self.strings = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.strings[rank] = token
+        if lacking := [i for i in range(256) if bytes([i]) not in self.ranks]:
+            raise ValueError(f"the vocabulary lacks {len(lacking)} of the 256 bytes")
         self.slow, self.fast, self.remember, self.known, self.older = regex.compile(PATTERN).findall, re.compile(FAST).findall, remember, {}, {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -116,6 +119,7 @@ def encode(docs: DataFrame, vocabulary: bytes | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_bytes, token_ids, round_trip): the ids of each text; round_trip says that decoding them gives the text."""
     bound_batches(docs.sparkSession)
     data = load_vocabulary() if vocabulary is None else vocabulary
+    Codec(data)
     shared = docs.sparkSession.sparkContext.broadcast(data)  # of fixed size: the vocabulary file
 
     def make():

@@ -8,7 +8,7 @@ Only counts by slot reach the driver, 2**ring_bits of them at most, whatever the
 the few slots that a full shard cuts in two have their keys ranked. What is broadcast is one row a slot.
 
 Defined results: keys are doc_ids, null being one; equal keys are next to each other on the ring, and repeated rows are
-keys each; ties have no effect on a shard's load; an empty table has an empty result; other columns are not looked at.
+keys each; a doc_id that doesn't cast to bigint is an error; ties have no effect on a shard's load; an empty table has an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
