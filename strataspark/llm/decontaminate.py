@@ -6,13 +6,14 @@ marks the longest matches that do not overlap, again and again, until none of ``
 passages are found because every tile counts, wherever it stands. The share of an item's tokens under tiles is its
 coverage.
 
-The seed table is held in memory by each task. The benchmark is taken in slices of at most ``slice_items`` items by a
-counted modulus, so that what a task holds has a fixed bound however large the benchmark is; every slice sees every document.
+The seed table is held in memory by each task. A benchmark of more than ``slice_items`` items is taken in slices of about so
+many different texts, one after another, so that neither the driver nor a task holds more. A filter of all its seeds (256 MB
+at most) first finds the documents that have any; only these are read again for each slice.
 
 Defined results: tokens are lower-cased runs of word characters; a null or empty text matches nothing; items of null
 text or of fewer than ``min_match`` tokens match nothing; a null doc_id or item_id is carried along; repeated documents
 or items give repeated rows; of equally long matches the first in the item, then in the document, is marked first; an
-empty table on either side gives no matches; other columns are not looked at.
+empty table on either side gives no matches; ids that don't cast to bigint are an error; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bound_batches
-from .textkit import M1, map_batches, mix
+from ..session import bound_batches, discard, materialise
+from .textkit import M1, WordHasher, bloom_filter, in_filter, join_checked, map_batches, mix, shingles
 
 WORD = re.compile(r"\w+")
 PRIME, BASE = (1 << 61) - 1, 1_000_003
@@ -39,6 +40,7 @@ class Params:
     coverage: float = 0.6
     first_length: int = 16  # the search length that Running Karp-Rabin begins with
     slice_items: int = 20_000
+    broadcast_rows: int = 300_000
 
 
 def _windows(tokens: list[int], marked: list[bool], s: int):
@@ -165,57 +167,91 @@ class Seeds:
         return out
 
 
-def _slices(benchmark: DataFrame, p: Params) -> list[list[tuple]]:
-    items = benchmark.select("item_id", "text")
-    count = items.count()
-    parts = max(1, -(-count // p.slice_items))
-    if parts == 1:
-        return [[tuple(r) for r in items.collect()]]
-    slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [[tuple(r) for r in items.filter(slot == i).collect()] for i in range(parts)]
+def _few(benchmark: DataFrame, p: Params) -> list[tuple] | None:
+    """The items, if they are no more than a slice."""
+    items = benchmark.select("item_id", "text").limit(p.slice_items + 1).collect()
+    return [tuple(r) for r in items] if len(items) <= p.slice_items else None
 
 
 MATCHES = "doc_id bigint, item_id bigint, coverage double, matched int, item_tokens int, tiles array<struct<item_start:int,doc_start:int,length:int>>"
+TILES = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """A row for each document and benchmark item of which the document's tiles cover the threshold or more."""
-    bound_batches(docs.sparkSession)
-    tile_type = pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), tile_type]
-    names = ["doc_id", "item_id", "coverage", "matched", "item_tokens", "tiles"]
+def _tiled(docs: DataFrame, items: list[tuple], p: Params, schema: str, item: pa.DataType) -> DataFrame:
+    """A row for each of docs(id, text) and each item that it covers; ``schema``: as MATCHES, with the types of both ids."""
+
+    def make():
+        seeds = Seeds(items, p)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [(i, *found[:4], [dict(zip(("item_start", "doc_start", "length"), t)) for t in found[4]]) for i, text in enumerate(batch.column(1).to_pylist()) for found in seeds.matches(text)]
+            kinds = [item, pa.float64(), pa.int32(), pa.int32(), TILES]
+            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int32()))
+            return pa.record_batch([ids, *[pa.array([r[i + 1] for r in rows], kind) for i, kind in enumerate(kinds)]], [x.split(" ")[0] for x in schema.split(", ")])
+
+        return step
+
+    return map_batches(docs, make, schema)
+
+
+def _in_slices(texts: DataFrame, benchmark: DataFrame, p: Params) -> DataFrame:
+    """As MATCHES, but ids are the MD5 of the texts: matches of texts(id, text), of different ones, with a large benchmark."""
+    spark = texts.sparkSession
+    items = benchmark.select(F.md5("text").alias("id"), "text").filter("id IS NOT NULL").dropDuplicates(["id"])
+    parts = -(-items.count() // p.slice_items)
+    items = materialise(items.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(parts))), "items")
 
-    def maker(items):
-        def make():
-            seeds = Seeds(items, p)
+    def grams():
+        hasher = WordHasher()
+        return lambda text: shingles(hasher(words), p.min_match) if len(words := WORD.findall((text or "").lower())) >= p.min_match else np.array([], np.uint64)
 
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows = [(doc, item, c, m, n, [dict(zip(("item_start", "doc_start", "length"), t)) for t in tiles]) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for item, c, m, n, tiles in seeds.matches(text)]
-                return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+    def seeds():
+        of = grams()
+        return lambda batch: pa.record_batch([pa.array(np.concatenate([of(t) for t in batch.column(0).to_pylist()]).view(np.int64))], ["key"])
 
-            return step
+    table, bits = bloom_filter(map_batches(items.select("text"), seeds, "key bigint"))
+    shared = spark.sparkContext.broadcast(table)
 
-        return make
+    def touched():
+        of, joined = grams(), np.frombuffer(b"".join(shared.value), np.uint8)
+        return lambda batch: batch.filter(pa.array([bool(in_filter(of(t), joined, bits).any()) for t in batch.column(1).to_pylist()], pa.bool_()))
 
-    out = None
-    for items in _slices(benchmark, p):
-        part = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), maker(items), MATCHES)
+    near = materialise(map_batches(texts, touched, "id string, text string"), "touched")
+    shared.unpersist()
+    schema, out = MATCHES.replace("doc_id bigint, item_id bigint", "doc string, item string"), None
+    for i in range(parts):
+        one = [tuple(r) for r in items.filter(F.col("slice") == i).select("id", "text").collect()]
+        part = materialise(_tiled(near, one, p, schema, pa.string()), "tiled")
         out = part if out is None else out.unionByName(part)
+    discard(items, near)
     return out
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
+    """A row for each document and benchmark item of which the document's tiles cover the threshold or more."""
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    if (items := _few(benchmark, p)) is not None:
+        return _tiled(texts, items, p, MATCHES, pa.int64())
+    found = _in_slices(texts.select(F.md5("text").alias("id"), "text").filter("id IS NOT NULL").dropDuplicates(["id"]), benchmark, p)
+    named = found.join(texts.select("doc_id", F.md5("text").alias("doc")), "doc").join(benchmark.select(F.col("item_id").cast("bigint"), F.md5("text").alias("item")), "item")
+    return named.select(*[x.split(" ")[0] for x in MATCHES.split(", ")])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` without the documents that cover a benchmark item to the threshold; rows and columns stay as they are."""
     bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
-
-    def maker(items):
-        def make():
-            seeds = Seeds(items, p)
-            return lambda batch: batch.filter(pa.array([not seeds.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-        return make
-
-    for items in _slices(benchmark, p):
-        docs = map_batches(docs, maker(items), docs.schema)
-    return docs
+    if (items := _few(benchmark, p)) is None:
+        texts = docs.select(F.md5("text").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL").dropDuplicates(["id"])
+        found = materialise(_in_slices(texts, benchmark, p).select("doc").distinct(), "contaminated")
+        name = "__doc"
+        while name in (c.lower() for c in docs.columns):
+            name += "_"
+        return join_checked(docs.withColumn(name, F.md5("text")), found.withColumnRenamed("doc", name), [name], "left_anti", p.broadcast_rows).select(*docs.columns)
+
+    def make():
+        seeds = Seeds(items, p)
+        return lambda batch: batch.filter(pa.array([not seeds.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_batches(docs, make, docs.schema)

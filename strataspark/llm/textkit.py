@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -110,3 +111,42 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, broadcast_rows: int) -> DataFrame:
     """Broadcast ``small`` only if its counted rows allow; otherwise the shuffle join that Spark picks."""
     return big.join(F.broadcast(small) if small_enough(small, broadcast_rows) else small, on, how)
+
+
+SLOTS = 64
+
+
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key in its slot of ``2**bits``; the slot is its lowest bits. Low bits: samples have small hashes."""
+    k = keys >> U64(6)
+    return (k & U64((1 << bits) - 1)).astype(np.int64), ((k * M1) >> U64(64 - bits)).astype(np.int64)
+
+
+def bloom_filter(keys: DataFrame) -> tuple[list[bytes], int]:
+    """A Bloom filter of keys(key), one part a slot, and the bits of a part; at most 256 MB, beyond which it only thins less."""
+    bits = min(25, max(10, math.ceil(math.log2(12 * keys.count() / SLOTS + 1))))
+    slotted = keys.distinct().withColumn("slot", F.col("key").bitwiseAND(SLOTS - 1).cast("int"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own, slot = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+            for s in np.unique(slot).tolist():
+                table = on.setdefault(s, np.zeros(1 << bits, bool))
+                for at in _places(own[slot == s], bits):
+                    table[at] = True
+        for s, table in on.items():
+            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], ["slot", "bits"])
+
+    rows = slotted.repartition(SLOTS, "slot").mapInArrow(part, "slot int, bits binary").collect()  # a row a slot
+    parts = {r.slot: bytes(r.bits) for r in rows}
+    return [parts.get(i, bytes(1 << bits >> 3)) for i in range(SLOTS)], bits
+
+
+def in_filter(keys: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the keys may be in the filter whose parts, joined, are ``table``."""
+    found, slot = np.ones(len(keys), bool), (keys & U64(SLOTS - 1)).astype(np.int64) << bits
+    for at in _places(keys, bits):
+        at = slot + at
+        found &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return found

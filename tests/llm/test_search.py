@@ -204,7 +204,9 @@ def test_tiling_against_brute_force(spark):
     wanted = {(d, i): c for d, t in enumerate(texts) for i, x in enumerate(items) if (c := brute_coverage(x, t, p.min_match)) >= p.coverage}
     assert found == pytest.approx(wanted) and {(0, 0), (1, 1), (2, 2), (5, 5)} <= set(found)
     sliced = decontaminate.matches(docs, bench, decontaminate.Params(slice_items=2)).collect()
-    assert {(r.doc_id, r.item_id) for r in sliced} == set(found)
+    assert {(r.doc_id, r.item_id): r.coverage for r in sliced} == pytest.approx(wanted)
+    kept = decontaminate.decontaminate(docs.withColumn("__doc", docs.doc_id), bench, decontaminate.Params(slice_items=2))
+    assert kept.columns == ["doc_id", "text", "__doc"] and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in found}
 
 
 def test_decontamination_edges(spark):
