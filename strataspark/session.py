@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -19,13 +21,16 @@ def bound_batches(spark: SparkSession, rows: int = 256) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir). Without the setting, a local master gets a temporary one, and a
+    cluster an error: its machines share no temporary folder."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         existing = sc._jsc.sc().getCheckpointDir()
         if existing.isDefined():
             return existing.get()
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strataspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -51,6 +56,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing holds any more: its cleaner follows the driver's garbage collection,
+    which may be long in coming on a driver that does little itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
