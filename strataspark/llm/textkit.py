@@ -125,7 +125,7 @@ def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def bloom_filter(keys: DataFrame) -> tuple[list[bytes], int]:
     """A Bloom filter of keys(key), one part a slot, and the bits of a part; at most 256 MB, beyond which it only thins less."""
     bits = min(25, max(10, math.ceil(math.log2(12 * keys.count() / SLOTS + 1))))
-    slotted = keys.distinct().withColumn("slot", F.col("key").bitwiseAND(SLOTS - 1).cast("int"))
+    slotted = keys.withColumn("slot", F.col("key").bitwiseAND(SLOTS - 1).cast("int"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on: dict[int, np.ndarray] = {}
@@ -138,7 +138,7 @@ def bloom_filter(keys: DataFrame) -> tuple[list[bytes], int]:
         for s, table in on.items():
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], ["slot", "bits"])
 
-    rows = slotted.repartition(SLOTS, "slot").mapInArrow(part, "slot int, bits binary").collect()  # a row a slot
+    rows = slotted.repartition("slot").mapInArrow(part, "slot int, bits binary").collect()  # a row a slot
     parts = {r.slot: bytes(r.bits) for r in rows}
     return [parts.get(i, bytes(1 << bits >> 3)) for i in range(SLOTS)], bits
 
