@@ -78,7 +78,7 @@ def _scripts(language: str) -> Adapter:
 
 
 GO = Adapter("Go", repo.go_files, _go, T.go_import)
-PYTHON = Adapter("Python", repo.python_files, _python, T.python_import, lambda files: python.evidence(repo.python_files(files)))
+PYTHON = Adapter("Python", repo.python_files, _python, T.python_import, lambda files: python.evidence(repo.python_files(files), files))
 DEFAULT = (GO, PYTHON, _scripts("JavaScript"), _scripts("TypeScript"))
 
 
@@ -106,7 +106,7 @@ class Detector:
 
     def stats(self, files: DataFrame) -> DataFrame:
         """Weighted files, evidence and markers by language, in the order of languages."""
-        known = files.filter(~F.col("is_symlink")).withColumn("language", detect.language_of(F.col("path"))).filter(F.col("language").isin(*self.adapters) & F.col("content").isNotNull())
+        known = repo.detectable(files).withColumn("language", detect.language_of(F.col("path"))).filter(F.col("language").isin(*self.adapters) & F.col("content").isNotNull())
         counted = known.select(F.concat(F.lit("/"), "path").alias("path"), "language", T.scanned_lines(F.col("content")).alias("lines"))
         found = detect.language_stats(counted, self.policy)
         if (signals := self.evidence(files)) is not None:

@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
+import signal
 import sys
+import threading
+import uuid
 
 from . import __version__, config, engine, history, plugins, report
+from .operators import score
+from .session import shared_dir
+from .sources import events
+from .streaming import watch
 
 COMMANDS = ("analyze", "extract", "generate", "help", "history", "interactive", "report", "version")
 HINTS = (("not a directory", "Give a directory"), ("no such file", "See whether the path exists"), ("permission denied", "See whether you may read the path"), ("no supported language", "There are Go, Python, JavaScript and TypeScript"), ("unknown settings", "See the names in the configuration"), ("is not yaml", "See the configuration's syntax"))
@@ -34,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("-config", "--config", default="strataspark.yaml")
     a.add_argument("-resolve", "--resolve", action="store_true", help="follow imports to files")
     a.add_argument("-history", "--history", default="", help="folder to keep scores in")
+    a.add_argument("-watch", "--watch", action="store_true", help="analyse again after each burst of changes, until a signal")
+    a.add_argument("-explain", "--explain", action="store_true", help="say what each kind of violation costs")
     e = sub.add_parser("extract", help="list Go imports")
     e.add_argument("-path", "--path", default=".")
     e.add_argument("-module", "--module", default="")
@@ -61,6 +71,7 @@ def session():
 
 
 def run_analyze(args, spark=None) -> int:
+    """2 where violations call for it, 3 where a rule failed, so that the score says too little; else 0."""
     spark = spark or session()
     cfg = config.load(args.config)
     done = engine.analyze(spark, args.path or args.place, cfg, resolve=args.resolve)
@@ -69,12 +80,42 @@ def run_analyze(args, spark=None) -> int:
         sys.stdout.write(report.text(found, not args.no_color and report.wants_color()))
     else:
         sys.stdout.write(report.json_v1(found) if args.format == "json-v1" else report.json_v2(found))
-    if args.verbose:
-        print(done.outcome.failed or "all rules ran", file=sys.stderr)
+    if getattr(args, "explain", False):
+        print(score.explained(found["score"]), file=sys.stderr)
+    for rule, why in done.outcome.failed.items():
+        print(f"{rule} failed, its violations are missing: {why}", file=sys.stderr)
+    if args.verbose and not done.outcome.failed:
+        print("all rules ran", file=sys.stderr)
     if args.history:
         print(history.summary(history.load(spark, args.history), found["score"]["total"]), file=sys.stderr)
         history.append(spark, args.history, found["score"]["total"])
-    return found["score"]["exit_code"]
+    return 3 if done.outcome.failed else found["score"]["exit_code"]
+
+
+def run_watch(args, spark=None, stopped: threading.Event | None = None) -> int:
+    """Analyse now and after each burst of changes; ends at SIGINT or SIGTERM, or when ``stopped`` is set."""
+    spark = spark or session()
+    if stopped is None:
+        stopped = threading.Event()
+        for number in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(number, lambda *_: stopped.set())
+    last = run_analyze(args, spark)
+    stream = events.stream(spark, args.path or args.place)
+    checkpoint = f"{shared_dir(spark).rstrip('/')}/watch-{uuid.uuid4().hex}"
+
+    def again(_: str) -> int:
+        nonlocal last
+        last = run_analyze(args, spark)
+        return last
+
+    query = watch.run_on_bursts(stream, again, checkpoint)
+    try:
+        while not stopped.wait(0.2):
+            if query.exception() is not None:
+                raise ValueError(f"watching ended: {query.exception()}")
+    finally:
+        query.stop()
+    return last
 
 
 def run_extract(args, spark=None) -> int:
@@ -82,14 +123,14 @@ def run_extract(args, spark=None) -> int:
     last = None
     for row in rows.toLocalIterator():
         if args.json:
-            print(row.asDict())
+            print(json.dumps(row.asDict(), ensure_ascii=False))
             continue
         if row.path != last:
             last = row.path
             print(f"{row.path} (package {row.package})" + (f"\n  at {os.path.abspath(os.path.join(args.path, row.path))}" if args.verbose else ""))
         print(f"  {row['import'] or '(no external imports)'}")
     total = engine.extract_totals(rows).first()
-    print(f"{total.files} files, {total.imports} imports")
+    print(f"{total.files} files, {total.imports} imports", file=sys.stderr if args.json else sys.stdout)
     return 0
 
 
@@ -131,7 +172,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         if args.command == "analyze":
-            return run_analyze(args)
+            return run_watch(args) if args.watch else run_analyze(args)
         if args.command == "extract":
             return run_extract(args)
         if args.command == "report":

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialise
 from . import graph
 
 CATEGORIES = ("architecture", "maintainability", "size", "structural", "testing")
@@ -72,18 +73,19 @@ def merged_god_objects(violations: DataFrame) -> DataFrame:
     return violations.filter("rule_id = 'rule.god-object'").groupBy("file", "struct").agg(part("fields"), part("methods"))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """A row for each back edge of the sorted depth-first walk."""
-    found = graph.back_edges(edges)
+def cycles(edges: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A row for each back edge of the sorted depth-first walk; of graphs over ``most`` edges, whose walk no one machine should
+    hold, a row for each component with a cycle (``cyclic_components``)."""
+    if not graph.at_most(edges, most):
+        return cyclic_components(edges)
+    found = graph.back_edges(edges, most)
     message = F.concat(F.lit("Circular dependency detected: "), T.cycle_text(F.col("path")))
     return _rows(found, "rule.circular-dependency", "critical", "architecture", -10.0, message, file=F.element_at("path", 1), related=F.col("path"))
 
 
 def cyclic_components(edges: DataFrame) -> DataFrame:
     """A row for each strongly connected component with a cycle; distributed, for graphs of any size."""
-    closure = graph.reachability(edges)
-    inside = graph.components(edges, closure).join(graph.on_cycle(closure), "node", "left_semi")
-    found = inside.groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("path"))
+    found = graph.cyclic(edges).groupBy("component").agg(F.array_sort(F.collect_set("node")).alias("path"))
     message = F.concat(F.lit("Circular dependency among: "), F.array_join("path", ", "))
     return _rows(found, "rule.circular-dependency", "critical", "architecture", -10.0, message, file=F.col("component"), related=F.col("path"))
 
@@ -185,17 +187,26 @@ class Registry:
         return len(self._rules)
 
 
-def default_registry() -> Registry:
+def default_registry(settings: dict | None = None) -> Registry:
+    """The rules that ``settings`` (see config.py) leave on, with their severities; all of them without settings."""
+    given = settings or {}
+    switches, sizes, gods = given.get("rules", {}), given.get("size", {}), given.get("god_object", {})
     size = lambda c: large_files(c.files, c.settings.get("max_file_lines", 500)).unionByName(large_functions(c.functions, c.settings.get("max_function_lines", 80)))
-    god = lambda c: god_objects(c.structs, c.methods, c.settings.get("max_fields", 15), c.settings.get("max_methods", 10))
-    return Registry(
-        [
-            Rule("rule.size", "size", "warning", size),
-            Rule("rule.god-object", "maintainability", "warning", god),
-            Rule("rule.layer-validation", "architecture", "error", lambda c: upward_imports(c.edges)),
-            Rule("rule.circular-dependency", "architecture", "critical", lambda c: cycles(c.edges)),
-        ]
-    )
+
+    def god(c: Context) -> DataFrame:
+        kept = c.structs.filter(~T.excluded(F.col("file"), tuple(gods["exclude"]))) if gods.get("exclude") else c.structs
+        return god_objects(kept, c.methods, c.settings.get("max_fields", 15), c.settings.get("max_methods", 10))
+
+    def severe(evaluate: Callable[[Context], DataFrame], severity: str) -> Callable[[Context], DataFrame]:
+        return lambda c: evaluate(c).withColumn("severity", F.lit(severity))
+
+    listed = [
+        (switches.get("enable_size_rule", True) and sizes.get("enabled", True), Rule("rule.size", "size", level := sizes.get("severity", "warning"), severe(size, level))),
+        (switches.get("enable_god_object_rule", True) and gods.get("enabled", True), Rule("rule.god-object", "maintainability", level := gods.get("severity", "warning"), severe(god, level))),
+        (switches.get("enable_layer_rule", True), Rule("rule.layer-validation", "architecture", "error", lambda c: upward_imports(c.edges))),
+        (switches.get("enable_circular_rule", True), Rule("rule.circular-dependency", "architecture", "critical", lambda c: cycles(c.edges))),
+    ]
+    return Registry(rule for on, rule in listed if on)
 
 
 @dataclass
@@ -207,7 +218,11 @@ class Outcome:
 
 
 class Executor:
-    """Runs rules that fit the context's languages; one that raises gives no rows; the budget is looked at between rules."""
+    """Runs rules that fit the context's languages, one after another; the budget is looked at between rules.
+
+    Each rule's violations are written as a table in its turn: a rule that raises, when it is planned or on a row, gives no
+    rows and is listed, and the time that counts is that of its work.
+    """
 
     def __init__(self, registry: Registry, budget: float = 2.0):
         self.registry, self.budget = registry, budget
@@ -230,7 +245,7 @@ class Executor:
                 late = True
                 break
             try:
-                parts.append(r.evaluate(context).select(*[c.split(" ")[0] for c in SCHEMA.split(", ")]))
+                parts.append(materialise(r.evaluate(context).select(*[c.split(" ")[0] for c in SCHEMA.split(", ")]), "violations"))
             except Exception as error:  # isolation: a faulty rule doesn't end the analysis
                 failed[r.id] = f"{type(error).__name__}: {error}"
         return Outcome(in_order(union(parts)), len(chosen), failed, late)

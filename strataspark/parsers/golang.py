@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import bound_batches
+
 TOKEN = re.compile(
     r"(?P<space>[ \t\r]+)|(?P<newline>\n)|(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<raw>`[^`]*`)|(?P<string>\"(?:[^\"\\\n]|\\.)*\")|(?P<rune>'(?:[^'\\\n]|\\.[^'\n]*)')"
     r"|(?P<word>[^\W\d]\w*)|(?P<number>\.?\d[\w.]*(?:[eEpP][+-]\d[\w.]*)?)|(?P<sign>\.\.\.|<-|[-+*/%&|^<>=!:]=|&&|\|\||\+\+|--|<<=?|>>=?|&\^=?|:=|[^\s\w])"
@@ -274,7 +276,8 @@ SCHEMA = (
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """The parse of files(path, content), a row each."""
+    """The parse of files(path, content), a row each, in batches bounded by their bytes."""
+    bound_batches(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

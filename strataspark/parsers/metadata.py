@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 MAX_BYTES, MAX_DEPTH, MAX_KEY = 2 << 20, 8, 128
 
 
@@ -44,6 +46,7 @@ def problem(content: str | None) -> str | None:
 
 def guarded(files: DataFrame) -> DataFrame:
     """(path, ok, warning) of files(path, content)."""
+    bound_batches(files.sparkSession)
 
     @F.pandas_udf("string")
     def warn(content: pd.Series) -> pd.Series:

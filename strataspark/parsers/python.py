@@ -79,7 +79,7 @@ def resolved(directory: str, root: str, module: str, level: int) -> str:
 
 
 def normalised(evidence: DataFrame, roots: DataFrame) -> DataFrame:
-    """(path, module): what import_evidence's rows refer to; empty ones are dropped."""
+    """(path, module, relative): what import_evidence's rows refer to; empty ones are dropped."""
 
     @F.pandas_udf("string")
     def climb(d: pd.Series, r: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
@@ -87,15 +87,20 @@ def normalised(evidence: DataFrame, roots: DataFrame) -> DataFrame:
 
     with_root = evidence.withColumn("dir", T.parent(F.col("path"))).join(roots, "dir", "left")
     name = F.when(F.col("relative"), climb("dir", F.coalesce("root", F.lit(".")), "module", "level")).otherwise(F.split_part("module", F.lit("."), F.lit(1)))
-    return with_root.select("path", name.alias("module")).filter("module <> ''")
+    return with_root.select("path", name.alias("module"), "relative").filter("module <> ''")
 
 
-def evidence(files: DataFrame) -> DataFrame:
-    """(language, signal, weight, path): a signal for each import of the first 5,000 files by path, in the order of paths."""
-    first = files.filter(~F.col("is_symlink") & (F.octet_length("content") <= MAX_BYTES)).orderBy("path").limit(MAX_EVIDENCE_FILES)
+def evidence(files: DataFrame, tree: DataFrame | None = None, most_files: int = MAX_EVIDENCE_FILES, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """(language, signal, weight, path): a signal for each import of the first ``most_files`` files by path, in the order of paths.
+
+    An import that names nothing below the root (``from . import x`` in a file of the root) gives none. ``tree``: all files of
+    the repository, whose ``__init__.py`` make packages; ``files`` where it isn't given.
+    """
+    first = files.filter(~F.col("is_symlink") & (F.octet_length("content") <= most_bytes)).orderBy("path").limit(most_files)
     weight = F.when(F.col("relative"), F.lit(RELATIVE)).otherwise(F.lit(ABSOLUTE))
     signal = F.when(F.col("relative"), "relative_import").otherwise("import")
-    return import_evidence(first).select(F.lit("Python").alias("language"), signal.alias("signal"), weight.alias("weight"), "path").orderBy("path", "signal", "language", "weight")
+    found = normalised(import_evidence(first), module_roots(files if tree is None else tree))
+    return found.select(F.lit("Python").alias("language"), signal.alias("signal"), weight.alias("weight"), "path").orderBy("path", "signal", "language", "weight")
 
 
 def warnings(files: DataFrame) -> DataFrame:

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import engine
 from ..functions import text as T
 from ..operators import detect, graph, rules, score
-from ..session import table
+from ..parsers import golang, metadata, python, scripts
+from ..session import materialise, table
+from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,12 +44,13 @@ SQL_FILLED = r"len(list_filter(string_split(content, chr(10)), lambda x: regexp_
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst, q): the flows between nations that are over 1.3 times the mean."""
+    """(src, dst, q): the three largest flows of each nation's suppliers, two to nations and one to the region of the third."""
     supplier = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("a"))
     customer = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("b"))
     items = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = table(spark, d, "region").select("r_regionkey", "r_name")
     flows = (
         items.join(orders, items.l_orderkey == orders.o_orderkey)
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -54,18 +58,20 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("a", "b")
         .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"))
     )
-    n1, n2 = nation.toDF("a", "src"), nation.toDF("b", "dst")
-    whole = flows.agg(F.sum("q").alias("all_q"), F.count("*").alias("n"))  # one row
-    strong = flows.crossJoin(F.broadcast(whole)).filter("q * n * 10 > all_q * 13")
-    return strong.join(n1, "a").join(n2, "b").select("src", "dst", "q")
+    largest = Window.partitionBy("a").orderBy(F.desc("q"), "b")  # a row for each pair of nations
+    ranked = flows.withColumn("r", F.row_number().over(largest)).filter("r <= 3")
+    n1, n2 = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("src")), nation.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("to"), "n_regionkey")
+    named = ranked.join(n1, "a").join(n2, "b").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.select("src", F.when(F.col("r") <= 2, F.col("to")).otherwise(F.col("r_name")).alias("dst"), "q")
 
 
 EDGES = """flows AS (
   SELECT s_nationkey AS a, c_nationkey AS b, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY q DESC, b) AS r FROM flows),
 edges AS (
-  SELECT n1.n_name AS src, n2.n_name AS dst, q FROM flows JOIN nation n1 ON a = n1.n_nationkey JOIN nation n2 ON b = n2.n_nationkey
-  WHERE q * (SELECT count(*) FROM flows) * 10 > (SELECT sum(q) FROM flows) * 13)"""
+  SELECT n1.n_name AS src, CASE WHEN r <= 2 THEN n2.n_name ELSE r_name END AS dst, q
+  FROM ranked JOIN nation n1 ON a = n1.n_nationkey JOIN nation n2 ON b = n2.n_nationkey JOIN region ON n2.n_regionkey = r_regionkey WHERE r <= 3)"""
 CLOSURE = "closure AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM closure c JOIN edges e ON c.dst = e.src)"
 
 
@@ -175,10 +181,18 @@ def ignored_dirs(spark, d):
 
 
 @query(f"WITH {EDGES} SELECT src, dst, CAST(q AS DOUBLE) AS q FROM edges")
-def dedup_edges(spark, d):
+def weighted_edges(spark, d):
     return _edges(spark, d).select("src", "dst", F.col("q").cast("double"))
 
 
+@query("SELECT DISTINCT c_name AS src, o_orderpriority AS dst FROM orders JOIN customer ON o_custkey = c_custkey")
+def dedup_edges(spark, d):
+    """Each customer a file that imports the priorities of its orders, again and again."""
+    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("path"))
+    rows = table(spark, d, "orders").select("o_custkey", F.array("o_orderpriority", "o_orderpriority").alias("imports")).join(customer, "o_custkey")
+    return graph.edges_of(rows)
+
+
 @query(f"WITH {EDGES} SELECT src AS node FROM edges UNION SELECT dst FROM edges")
 def node_union(spark, d):
     return graph.nodes(_edges(spark, d))
@@ -228,14 +242,13 @@ def reachability(spark, d):
 
 @query(f"WITH RECURSIVE {EDGES}, {CLOSURE} SELECT src AS node FROM closure WHERE src = dst")
 def on_cycle(spark, d):
-    return graph.on_cycle(graph.reachability(_edges(spark, d)))
+    return graph.cyclic(materialise(_edges(spark, d), "edges")).select("node")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {CLOSURE}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)
 SELECT node, coalesce((SELECT min(least(a.dst, node)) FROM closure a JOIN closure b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node) AS component FROM nodes""")
 def scc(spark, d):
-    edges = _edges(spark, d)
-    return graph.components(edges, graph.reachability(edges))
+    return graph.strong_components(materialise(_edges(spark, d), "edges"))
 
 
 @query()
@@ -262,7 +275,8 @@ def layer_tags(spark, d):
 def _path_edges(spark, d) -> DataFrame:
     paths = _layer_paths(spark, d)
     a, b = paths.toDF("src", "src_path"), paths.toDF("dst", "dst_path")
-    return _edges(spark, d).join(a, "src").join(b, "dst").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
+    edges = _edges(spark, d).join(a, "src").join(b, "dst").select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"))
+    return materialise(edges, "edges")  # read by several rules, and again where violations are sorted
 
 
 ORDER_SQL = "CASE {0} WHEN 'handler' THEN 0 WHEN 'service' THEN 1 ELSE 2 END"
@@ -405,15 +419,18 @@ def history_last(spark, d):
 s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT epoch_us(min(ts)) AS started, count(*) AS events, max(event_id) FILTER (ts = last) AS last_event FROM (SELECT *, max(ts) OVER (PARTITION BY n) AS last FROM s) GROUP BY n""")
 def debounce_batch(spark, d):
-    from ..streaming import watch
-
     events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.struct(F.col("ts"), F.col("event_id")).alias("k"), F.col("event_id").alias("name"))
     return watch.bursts(events, "5 minutes", order="k").select(F.unix_micros("started").alias("started"), "events", F.col("name").alias("last_event"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")
+EVENT_NAME = "CASE WHEN user_id % 3 = 0 THEN 'pkg/.f' || user_id || '.go' WHEN user_id % 3 = 1 THEN 'pkg/f' || user_id || '.go' ELSE 'pkg/f' || user_id || '.txt' END"
+EVENT_OP = "CASE event_type WHEN 'view' THEN 'WRITE' WHEN 'signup' THEN 'CREATE' WHEN 'purchase' THEN 'CHMOD' WHEN 'click' THEN 'WRITE|CREATE' ELSE 'REMOVE' END"
+
+
+@query(f"SELECT event_id, name, op FROM (SELECT event_id, {EVENT_NAME} AS name, {EVENT_OP} AS op FROM events) WHERE name LIKE '%.go' AND name NOT LIKE '%/.%' AND op IN ('WRITE', 'CREATE', 'REMOVE', 'RENAME')")
 def event_filter(spark, d):
-    return table(spark, d, "events").filter(F.col("event_type").isin("click", "view")).select("event_id", "event_type")
+    events = table(spark, d, "events").select("event_id", F.expr(EVENT_NAME).alias("name"), F.expr(EVENT_OP).alias("op"))
+    return events.filter(watch.wanted(F.col("name"), F.col("op")))
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages")
@@ -443,19 +460,120 @@ def import_normalise(spark, d):
 @query(f"WITH {HREFS}, u AS (SELECT DISTINCT page_id, href FROM hrefs) SELECT count(DISTINCT page_id) AS files, count(*) AS imports, count(DISTINCT href) AS tokens FROM u")
 def import_distinct_totals(spark, d):
     pairs = _hrefs(spark, d).distinct()
-    return pairs.agg(F.countDistinct("page_id").alias("files"), F.count("*").alias("imports"), F.countDistinct("href").alias("tokens"))
+    totals = engine.extract_totals(pairs.select(F.col("page_id").alias("path"), F.col("href").alias("import")))
+    return totals.crossJoin(pairs.agg(F.countDistinct("href").alias("tokens")))  # a row each
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def props_json(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+JSON_CASES = (("view", "props"), ("error", "substr(props, 1, length(props) - 1)"), ("click", "'[' || props || ']'"), ("signup", "repeat('{\"a\":', 9) || '1' || repeat('}', 9)"))
+JSON_TEXT = "CASE event_type " + " ".join(f"WHEN '{kind}' THEN {text}" for kind, text in JSON_CASES) + " ELSE repeat('{\"a\":', 8) || '1' || repeat('}', 8) END"
 
 
-@query()
+@query(f"SELECT CAST(event_id AS VARCHAR) AS path, json_valid(t) AND coalesce(json_type(CASE WHEN json_valid(t) THEN t END) = 'OBJECT', false) AND length(t) - length(replace(t, '{{', '')) <= 8 AS ok FROM (SELECT event_id, {JSON_TEXT} AS t FROM events)")
 def depth_guard(spark, d):
-    from ..parsers import metadata
+    events = table(spark, d, "events").select(F.col("event_id").cast("string").alias("path"), F.expr(JSON_TEXT).alias("content"))
+    return metadata.guarded(events).select("path", "ok")
+
+
+PY_PATH, JS_PATH, GO_PATH = ("'p' || (c_nationkey % 5) || '/m' || c_custkey || '" + x + "'" for x in (".py", ".js", ".go"))
+PY_LINES = (
+    "'import os, ' || lower(c_mktsegment) || '.core as x, a.b'",
+    "'from ' || repeat('.', CAST(c_nationkey % 3 AS INT)) || 'pkg' || (c_nationkey % 7) || '.mod import y'",
+    "'# import nothing'",
+    "'  import sub' || c_nationkey || '.deep'",
+    "'class C' || c_custkey || '(Base): pass'",
+    "'  class _low: pass'",
+    "'def f' || c_custkey || '(self, a, b):'",
+    "'    return ''import x'''",
+    "'async def g(): pass'",
+    "'  def h( self ): pass'",
+)
+JS_LINES = ("'import React from \"react\";'", "'  import { a } from ''./' || lower(c_mktsegment) || ''';'", "'import \"side\";'", "'const x = require(\"y' || c_custkey || '\");'", "'export * from \"z\";'")
+GO_LINES = (
+    "'package p' || (c_nationkey % 5)", "''", "'import ('", "'  \"fmt\"'", "'  x \"example.com/' || lower(c_mktsegment) || '/y\"'", "')'", "''",
+    "'type T' || c_custkey || ' struct {'", "'  A, B int'", "'  Embedded'", "'}'",
+    "'func (t *T' || c_custkey || ') M(a, b int) {'", "'}'", "'func f' || c_nationkey || '() {'", "'  x.Do()'", "'}'",
+)
+
+
+def _source(path: str, lines: tuple[str, ...]) -> str:
+    """SQL, for both engines: (path, content) of a source file for each customer."""
+    return f"SELECT {path} AS path, " + " || chr(10) || ".join(lines) + " AS content, c_custkey, c_nationkey, c_mktsegment FROM customer"
+
+
+def _sources(spark: SparkSession, d: str, path: str, lines: tuple[str, ...]) -> DataFrame:
+    customer = table(spark, d, "customer")
+    return customer.select(F.expr(path).alias("path"), F.expr(" || chr(10) || ".join(lines)).alias("content"))
+
+
+PY, JS, GO = _source(PY_PATH, PY_LINES), _source(JS_PATH, JS_LINES), _source(GO_PATH, GO_LINES)
+EACH_LINE = "SELECT path, i AS line, string_split(content, chr(10))[i] AS t FROM ({0}), unnest(range(1, len(string_split(content, chr(10))) + 1)) r(i)"
+
+
+@query(f"WITH l AS ({EACH_LINE.format(PY)}), f AS (SELECT path, coalesce(nullif(regexp_extract(t, '^\\s*import\\s+([\\w.]+)', 1), ''), nullif(regexp_extract(t, '^\\s*from\\s+([\\w.]+)\\s+import', 1), '')) AS m FROM l) SELECT path, regexp_extract(path, '([^/]*)\\.py$', 1) AS package, split_part(m, '.', 1) AS import FROM f WHERE m IS NOT NULL")
+def python_imports(spark, d):
+    return python.imports(_sources(spark, d, PY_PATH, PY_LINES)).select("path", "package", F.explode("imports").alias("import"))
+
+
+@query(f"""WITH l AS (SELECT path, trim(t) AS t FROM ({EACH_LINE.format(PY)})),
+a AS (SELECT path, split_part(trim(unnest(string_split(substr(t, 8), ','))), ' ', 1) AS module, false AS relative, 0 AS level FROM l WHERE t LIKE 'import %'),
+b AS (SELECT path, trim(split_part(substr(t, 6), ' import ', 1)) AS m FROM l WHERE t LIKE 'from %' AND t LIKE '% import %')
+SELECT * FROM a UNION ALL SELECT path, ltrim(m, '.'), m LIKE '.%', CAST(length(m) - length(ltrim(m, '.')) AS INT) FROM b""")
+def python_import_evidence(spark, d):
+    return python.import_evidence(_sources(spark, d, PY_PATH, PY_LINES))
+
+
+@query(f"""WITH l AS (SELECT path, trim(t) AS t FROM ({EACH_LINE.format(PY)})),
+a AS (SELECT path, split_part(trim(unnest(string_split(substr(t, 8), ','))), ' ', 1) AS m FROM l WHERE t LIKE 'import %' UNION ALL SELECT path, trim(split_part(substr(t, 6), ' import ', 1)) FROM l WHERE t LIKE 'from %')
+SELECT path, CASE WHEN m LIKE '.%' THEN split_part(path, '/', 1) ELSE split_part(m, '.', 1) END AS module, m LIKE '.%' AS relative FROM a""")
+def python_normalised_imports(spark, d):
+    files = _sources(spark, d, PY_PATH, PY_LINES)
+    return python.normalised(python.import_evidence(files), python.module_roots(files))
+
+
+@query(f"WITH l AS (SELECT path, trim(t) AS t FROM ({EACH_LINE.format(PY)})) SELECT path, CAST(count(*) AS INT) AS lines, CAST(count(*) FILTER (t LIKE 'import %' OR t LIKE 'from %') AS INT) AS imports, CAST(count(*) FILTER (t LIKE 'def %') AS INT) AS functions FROM l GROUP BY path")
+def python_metrics(spark, d):
+    return python.metrics(_sources(spark, d, PY_PATH, PY_LINES))
+
+
+@query(f"WITH l AS (SELECT path, line, trim(t) AS t FROM ({EACH_LINE.format(PY)})) SELECT path, CAST(line AS INT) AS line, regexp_extract(t, '^def (\\w+)', 1) AS name, CASE WHEN trim(regexp_extract(t, '\\(([^)]*)', 1)) IN ('', 'self', 'cls') THEN 0 ELSE CAST(len(string_split(regexp_extract(t, '\\(([^)]*)', 1), ',')) AS INT) END AS params FROM l WHERE t LIKE 'def %'")
+def python_functions(spark, d):
+    return python.functions(_sources(spark, d, PY_PATH, PY_LINES))
+
+
+@query(f"WITH l AS (SELECT path, line, trim(t) AS t FROM ({EACH_LINE.format(PY)})) SELECT path, CAST(line AS INT) AS line, regexp_extract(t, '^class (\\w+)', 1) AS name, regexp_matches(t, '^class [A-Z]') AS exported FROM l WHERE t LIKE 'class %'")
+def python_classes(spark, d):
+    return python.classes(_sources(spark, d, PY_PATH, PY_LINES))
+
+
+@query(f"WITH l AS (SELECT path, trim(t) AS t FROM ({EACH_LINE.format(JS)})) SELECT path, trim(string_split(t, ' from ')[-1], ' \";''') AS import FROM l WHERE t LIKE 'import %' AND t LIKE '% from %'")
+def script_imports(spark, d):
+    return scripts.imports(_sources(spark, d, JS_PATH, JS_LINES)).select("path", F.explode("imports").alias("import"))
+
+
+@query(f"SELECT path, CAST(len(string_split(content, chr(10))) AS INT) AS lines, CAST(len(string_split(content, 'import ')) + len(string_split(content, 'require(')) - 2 AS INT) AS imports FROM ({JS})")
+def script_metrics(spark, d):
+    return scripts.metrics(_sources(spark, d, JS_PATH, JS_LINES))
+
+
+@query(f"WITH l AS ({EACH_LINE.format(GO)}) SELECT path, regexp_extract(path, '^(p\\d)', 1) AS package, regexp_extract(t, '\"(.*)\"', 1) AS import FROM l WHERE t LIKE '%\"%'")
+def go_imports(spark, d):
+    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES)).select("path", "package", F.explode("imports").alias("import"))
+
+
+@query(f"WITH l AS ({EACH_LINE.format(GO)}), s AS (SELECT path, line, t FROM l WHERE t LIKE 'func %') SELECT s.path, regexp_extract(t, '(\\w+)\\([^()]*\\) \\{{', 1) AS name, CAST(line AS INT) AS line, CAST((SELECT min(line) FROM l WHERE l.path = s.path AND l.line > s.line AND l.t = '}}') - line + 1 AS INT) AS lines, CASE WHEN t LIKE '%(a, b int)%' THEN 2 ELSE 0 END AS params FROM s")
+def go_functions(spark, d):
+    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES)).select("path", F.explode("functions").alias("f")).select("path", "f.name", "f.line", "f.lines", "f.params")
+
+
+@query(f"WITH l AS ({EACH_LINE.format(GO)}) SELECT path, regexp_extract(t, '^type (\\w+)', 1) AS name, CAST(line AS INT) AS line, 3 AS fields, true AS exported FROM l WHERE t LIKE 'type %'")
+def go_structs(spark, d):
+    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES)).select("path", F.explode("structs").alias("s")).select("path", "s.name", "s.line", "s.fields", "s.exported")
+
 
-    return metadata.guarded(table(spark, d, "events").select(F.col("event_id").cast("string").alias("path"), F.col("props").alias("content")))
+@query(f"WITH l AS ({EACH_LINE.format(GO)}) SELECT path, regexp_extract(t, '\\*(\\w+)', 1) AS receiver, regexp_extract(t, '\\) (\\w+)\\(', 1) AS name FROM l WHERE t LIKE 'func (t %'")
+def go_methods(spark, d):
+    methods = golang.parsed(_sources(spark, d, GO_PATH, GO_LINES)).select("path", F.explode("methods").alias("m")).select("path", "m.receiver", "m.name")
+    return methods.filter("receiver IS NOT NULL")
 
 
 STDLIB_SQL = ", ".join(f"'{x}'" for x in T.NAMED_FIRST_PARTS)
@@ -474,6 +592,7 @@ def boundary_rule(spark, d):
     return rules.outside(_edges(spark, d), allowed).select("src", "dst")
 
 
-@query("SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query(f"WITH {FILES} SELECT count(*) AS files, CAST(sum({SQL_LINES}) AS BIGINT) AS lines, CAST(sum(len(string_split(content, 'the ')) - 1) AS BIGINT) AS functions, (SELECT count(*) FROM supplier) AS structs FROM files")
 def repository_totals(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"), F.count("*").alias("n"))
+    metrics = _files(spark, d).select("path", T.split_lines(F.col("content")).alias("lines"), (F.size(F.split("content", "the ", -1)) - 1).alias("functions"))
+    return engine.totals_of(metrics, _owners(spark, d)[0])

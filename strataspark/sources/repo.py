@@ -34,7 +34,7 @@ def within(root: str, candidate: str) -> str | None:
     return real if real == base or real.startswith(base.rstrip(os.sep) + os.sep) else None
 
 
-def listing(root: str, ignored: tuple[str, ...] = IGNORED_DIRS, hidden_files: bool = False) -> Iterator[tuple[str, int, bool]]:
+def listing(root: str, ignored: tuple[str, ...] = (), hidden_files: bool = False) -> Iterator[tuple[str, int, bool]]:
     """(relative path, size, symlink) in lexical order. Hidden and ignored directories aren't entered, the root always is."""
     for folder, folders, files in os.walk(root):
         folders[:] = sorted(f for f in folders if not f.startswith(".") and f not in ignored and not os.path.islink(os.path.join(folder, f)))
@@ -55,9 +55,9 @@ class RepoReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = normalised_root(options.get("path", ""))
         self.extensions = tuple(x for x in options.get("extensions", "").split(",") if x)
-        self.ignored = tuple(x for x in options.get("ignored", ",".join(IGNORED_DIRS)).split(",") if x)
+        self.ignored = tuple(x for x in options.get("ignored", "").split(",") if x)
         self.hidden = options.get("hidden", "false").lower() == "true"
-        self.slice_bytes, self.most = int(options.get("slicebytes", 8 << 20)), int(options.get("maxbytes", 64 << 20))
+        self.slice_bytes = int(options.get("slicebytes", 8 << 20))
 
     def partitions(self) -> list[InputPartition]:
         """Slices of about equal bytes; names outside the wanted extensions are dropped before anything is read."""
@@ -75,7 +75,7 @@ class RepoReader(DataSourceReader):
     def read(self, partition: Slice):
         for path, size, link in partition.rows:
             full, content = os.path.join(self.root, path), None
-            if not link and size <= self.most:
+            if not link and within(self.root, path) is not None:
                 try:
                     with open(full, encoding="utf-8", errors="replace", newline="") as f:
                         content = f.read()
@@ -85,7 +85,7 @@ class RepoReader(DataSourceReader):
 
 
 class RepoSource(DataSource):
-    """``spark.read.format("repo").load(root)``; options extensions, ignored, hidden, sliceBytes, maxBytes."""
+    """``spark.read.format("repo").load(root)``; options extensions, ignored, hidden, sliceBytes. Files are read whole."""
 
     @classmethod
     def name(cls) -> str:
@@ -98,10 +98,17 @@ class RepoSource(DataSource):
         return RepoReader({k.lower(): v for k, v in dict(self.options).items()})
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), hidden: bool = False) -> DataFrame:
-    """files(path, abs_path, size, is_symlink, content) of a tree."""
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), hidden: bool = False, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """files(path, abs_path, size, is_symlink, content) of a tree. Directories with a leading dot aren't entered; each adapter,
+    and the detector (``detectable``), leaves out others of its own."""
     spark.dataSource.register(RepoSource)
-    return spark.read.format("repo").option("extensions", ",".join(extensions)).option("hidden", str(hidden).lower()).load(normalised_root(root))
+    reader = spark.read.format("repo").option("extensions", ",".join(extensions)).option("ignored", ",".join(ignored)).option("hidden", str(hidden).lower())
+    return reader.load(normalised_root(root))
+
+
+def detectable(files: DataFrame) -> DataFrame:
+    """What tells a repository's language: no links, no hidden files, nothing below ignored directories."""
+    return files.filter(~F.col("is_symlink") & ~_base().startswith(".") & _outside(IGNORED_DIRS))
 
 
 def _base():
@@ -126,7 +133,7 @@ def python_files(files: DataFrame) -> DataFrame:
 def script_files(files: DataFrame, language: str) -> DataFrame:
     """JavaScript or TypeScript."""
     pattern = r"(?i)\.jsx?$" if language == "JavaScript" else r"(?i)\.tsx?$"
-    return files.filter(F.col("path").rlike(pattern) & ~F.col("is_symlink") & _outside(("node_modules", "dist", "build"))).orderBy("path")
+    return files.filter(F.col("path").rlike(pattern) & ~F.col("is_symlink") & _outside(("node_modules", "dist", "build")))
 
 
 def counts(files: DataFrame) -> DataFrame:

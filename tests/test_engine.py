@@ -54,7 +54,7 @@ def test_analysis(spark, sample):
     assert json.loads(report.json_v1(found))["godObjectViolations"][0]["methods"] == 15
     assert list(json.loads(report.json_v2(found))) == sorted(json.loads(report.json_v2(found)))
     assert "⚠ Score: 69.0" in report.text(found)
-    assert engine.totals(done).first().asDict() == {"files": 3, "lines": 44 + 106 + 601, "functions": 16, "structs": 1}
+    assert engine.totals(done).first().asDict() == {"files": 4, "lines": 44 + 106 + 601 + 1, "functions": 16, "structs": 1}, "Go sources below node_modules count, only the detector leaves them out"
 
 
 def test_extract(spark, sample):
@@ -65,13 +65,14 @@ def test_extract(spark, sample):
 
 def test_scan(spark, sample, tmp_path):
     paths = {r.path for r in repo.scan(spark, sample).collect()}
-    assert "lib/__init__.py" in paths and not {"node_modules/x.go", ".hidden.go"} & paths
+    assert {"lib/__init__.py", "node_modules/x.go"} <= paths and ".hidden.go" not in paths
+    assert "node_modules/x.go" not in {r.path for r in repo.detectable(repo.scan(spark, sample)).collect()}
     os.symlink("/etc/hostname", tmp_path / "link.py")
     assert repo.scan(spark, str(tmp_path)).first().is_symlink
     assert repo.within(sample, "../x") is None and repo.within(sample, "repo") is not None
     with pytest.raises(ValueError):
         repo.normalised_root("  ")
-    assert repo.counts(repo.scan(spark, sample)).first().go_files == 3
+    assert repo.counts(repo.scan(spark, sample)).first().go_files == 4
 
 
 def test_detection(spark, tmp_path):
