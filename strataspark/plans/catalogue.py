@@ -14,7 +14,7 @@ from .. import engine
 from ..functions import text as T
 from ..operators import detect, graph, rules, score
 from ..parsers import golang, metadata, python, scripts
-from ..session import materialise, table
+from ..session import materialise, spread, table
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -501,7 +501,7 @@ def _source(path: str, lines: tuple[str, ...]) -> str:
 
 
 def _sources(spark: SparkSession, d: str, path: str, lines: tuple[str, ...]) -> DataFrame:
-    customer = table(spark, d, "customer")
+    customer = spread(table(spark, d, "customer"), "c_custkey")
     return customer.select(F.expr(path).alias("path"), F.expr(" || chr(10) || ".join(lines)).alias("content"))
 
 
