@@ -557,7 +557,7 @@ def script_metrics(spark, d):
 
 @query(f"WITH l AS ({EACH_LINE.format(GO)}) SELECT path, regexp_extract(path, '^(p\\d)', 1) AS package, regexp_extract(t, '\"(.*)\"', 1) AS import FROM l WHERE t LIKE '%\"%'")
 def go_imports(spark, d):
-    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES)).select("path", "package", F.explode("imports").alias("import"))
+    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES), ("package", "imports")).select("path", "package", F.explode("imports").alias("import"))
 
 
 @query(f"WITH l AS ({EACH_LINE.format(GO)}), s AS (SELECT path, line, t FROM l WHERE t LIKE 'func %') SELECT s.path, regexp_extract(t, '(\\w+)\\([^()]*\\) \\{{', 1) AS name, CAST(line AS INT) AS line, CAST((SELECT min(line) FROM l WHERE l.path = s.path AND l.line > s.line AND l.t = '}}') - line + 1 AS INT) AS lines, CASE WHEN t LIKE '%(a, b int)%' THEN 2 ELSE 0 END AS params FROM s")

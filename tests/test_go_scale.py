@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from strataspark.parsers import golang
 from strataspark.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -16,9 +17,31 @@ def tasks(df):
     return {r.p: r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()}
 
 
-def test_functions_are_spread(spark):
+def spread(spark, name, rows):
+    """Whether many tasks share the query's rows, ``rows`` for each customer."""
     customers = spark.read.parquet(f"{SF}/customer.parquet")
     assert len(tasks(customers)) == 1, "one row group"
-    found = tasks(QUERIES["go_functions"](spark, SF))
-    assert sum(found.values()) == 2 * customers.count()
-    assert len(found) >= 16 and max(found.values()) <= sum(found.values()) / 4
+    found = tasks(QUERIES[name](spark, SF))
+    assert sum(found.values()) == rows * customers.count()
+    return len(found) >= 16 and max(found.values()) <= sum(found.values()) / 4
+
+
+def test_functions_are_spread(spark):
+    assert spread(spark, "go_functions", 2)
+
+
+def test_imports_are_spread_and_read_alone(spark, monkeypatch):
+    assert spread(spark, "go_imports", 2)
+    source = "package p\nimport \"a\"\n\nfunc f() {}\n"
+    whole = golang.parse(source)
+    assert golang.parsed(spark.createDataFrame([("x.go", source)], "path string, content string"), ("package", "imports")).collect() == [("x.go", "p", ["a"])]
+    monkeypatch.delattr(golang.Parser, "declarations")
+    assert golang.parse(source, ("package", "imports")) == {**whole, "functions": None, "structs": None, "methods": None}
+    assert golang.parse("package p\nimport \"a\"\nfunc f() {\"\n\f", ("imports",))["imports"] == ["a"]
+
+
+def test_tokens_at_odd_space():
+    lines = lambda source: [(text, line) for _, text, line in golang.tokens(source)]
+    assert lines("a \r\n\n\t b`\n`\n /*\n*/c \t") == [("a", 1), (";", 1), ("b", 3), ("`\n`", 3), (";", 4), ("c", 6), (";", 6)]
+    with pytest.raises(golang.Malformed):
+        golang.tokens("a" + " " * 1_000_000 + "\f")
