@@ -572,7 +572,7 @@ def go_structs(spark, d):
 
 @query(f"WITH l AS ({EACH_LINE.format(GO)}) SELECT path, regexp_extract(t, '\\*(\\w+)', 1) AS receiver, regexp_extract(t, '\\) (\\w+)\\(', 1) AS name FROM l WHERE t LIKE 'func (t %'")
 def go_methods(spark, d):
-    methods = golang.parsed(_sources(spark, d, GO_PATH, GO_LINES)).select("path", F.explode("methods").alias("m")).select("path", "m.receiver", "m.name")
+    methods = golang.parsed(_sources(spark, d, GO_PATH, GO_LINES), ("methods",)).select("path", F.explode("methods").alias("m")).select("path", "m.receiver", "m.name")
     return methods.filter("receiver IS NOT NULL")
 
 

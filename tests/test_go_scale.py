@@ -45,3 +45,14 @@ def test_tokens_at_odd_space():
     assert lines("a \r\n\n\t b`\n`\n /*\n*/c \t") == [("a", 1), (";", 1), ("b", 3), ("`\n`", 3), (";", 4), ("c", 6), (";", 6)]
     with pytest.raises(golang.Malformed):
         golang.tokens("a" + " " * 1_000_000 + "\f")
+
+
+def parts_made(df):
+    """The columns that the parser returns."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [x.split("#")[0].strip() for x in plan.split("MapInArrow")[1].split("[")[1].split("]")[0].split(",")]
+
+
+def test_methods_are_spread_and_made_alone(spark):
+    assert spread(spark, "go_methods", 1)
+    assert parts_made(QUERIES["go_methods"](spark, SF)) == ["path", "methods"]
