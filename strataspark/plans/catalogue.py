@@ -567,7 +567,7 @@ def go_functions(spark, d):
 
 @query(f"WITH l AS ({EACH_LINE.format(GO)}) SELECT path, regexp_extract(t, '^type (\\w+)', 1) AS name, CAST(line AS INT) AS line, 3 AS fields, true AS exported FROM l WHERE t LIKE 'type %'")
 def go_structs(spark, d):
-    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES)).select("path", F.explode("structs").alias("s")).select("path", "s.name", "s.line", "s.fields", "s.exported")
+    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES), ("structs",)).select("path", F.explode("structs").alias("s")).select("path", "s.name", "s.line", "s.fields", "s.exported")
 
 
 @query(f"WITH l AS ({EACH_LINE.format(GO)}) SELECT path, regexp_extract(t, '\\*(\\w+)', 1) AS receiver, regexp_extract(t, '\\) (\\w+)\\(', 1) AS name FROM l WHERE t LIKE 'func (t %'")

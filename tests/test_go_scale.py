@@ -56,3 +56,8 @@ def parts_made(df):
 def test_methods_are_spread_and_made_alone(spark):
     assert spread(spark, "go_methods", 1)
     assert parts_made(QUERIES["go_methods"](spark, SF)) == ["path", "methods"]
+
+
+def test_structs_are_spread_and_made_alone(spark):
+    assert spread(spark, "go_structs", 1)
+    assert parts_made(QUERIES["go_structs"](spark, SF)) == ["path", "structs"]
