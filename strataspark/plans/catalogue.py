@@ -562,7 +562,7 @@ def go_imports(spark, d):
 
 @query(f"WITH l AS ({EACH_LINE.format(GO)}), s AS (SELECT path, line, t FROM l WHERE t LIKE 'func %') SELECT s.path, regexp_extract(t, '(\\w+)\\([^()]*\\) \\{{', 1) AS name, CAST(line AS INT) AS line, CAST((SELECT min(line) FROM l WHERE l.path = s.path AND l.line > s.line AND l.t = '}}') - line + 1 AS INT) AS lines, CASE WHEN t LIKE '%(a, b int)%' THEN 2 ELSE 0 END AS params FROM s")
 def go_functions(spark, d):
-    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES)).select("path", F.explode("functions").alias("f")).select("path", "f.name", "f.line", "f.lines", "f.params")
+    return golang.parsed(_sources(spark, d, GO_PATH, GO_LINES), ("functions",)).select("path", F.explode("functions").alias("f")).select("path", "f.name", "f.line", "f.lines", "f.params")
 
 
 @query(f"WITH l AS ({EACH_LINE.format(GO)}) SELECT path, regexp_extract(t, '^type (\\w+)', 1) AS name, CAST(line AS INT) AS line, 3 AS fields, true AS exported FROM l WHERE t LIKE 'type %'")

@@ -61,3 +61,7 @@ def test_methods_are_spread_and_made_alone(spark):
 def test_structs_are_spread_and_made_alone(spark):
     assert spread(spark, "go_structs", 1)
     assert parts_made(QUERIES["go_structs"](spark, SF)) == ["path", "structs"]
+
+
+def test_functions_are_made_alone(spark):
+    assert parts_made(QUERIES["go_functions"](spark, SF)) == ["path", "functions"]
